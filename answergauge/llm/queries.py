@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, store
+from . import exact_dedup, mixing, packing, sharding, simhash, store, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,30 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the contracts, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "tokens")
+    token_store.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_store.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op2_exact_dedup, op4_mixture]
+    found = [op1_shards, op2_exact_dedup, op4_mixture, op6_packing, op8_token_files, op9_simhash]
     return {f.__name__: f for f in found}
 
 
