@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, store, token_store
+from . import exact_dedup, html_wrappers, mixing, packing, quality_classifier, quality_rules, sharding, simhash, store, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_duplicates(_table(spark, sf_dir, "documents"), index)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, quality_classifier.grades_of_labels(_table(spark, sf_dir, "labels")), 3)
+    return quality_classifier.score_documents(docs, model)
+
+
 def tokenizer_path() -> str:
     """The public tokenizer of the contracts, where it is installed."""
     import public_tokenizers
@@ -39,6 +50,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "tokens")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -50,8 +67,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op2_exact_dedup, op4_mixture, op6_packing, op8_token_files, op9_simhash]
+    found = [
+        op1_shards, op2_exact_dedup, op3_quality_rules, op4_mixture, op5_quality_classifier, op6_packing, op7_warc, op8_token_files, op9_simhash, op10_html_text,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -62,6 +85,14 @@ g as (select *, min(doc_id) over (partition by text_sha256) as keep_id, count(*)
 select doc_id, keep_id, group_size, (doc_id is not distinct from keep_id) and nth = 1 as kept, text_sha256 from g
 """
 
+OP7_SQL = r"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+r as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+    case when page_id <> first_id then first_id end as refers_to from r
+"""
+
 OP4_SQL = r"""
 with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
     (('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
@@ -88,4 +119,4 @@ select doc_id, size, source_size, round(target, 6) as target, ((certain + case w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_mixture": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_mixture": OP4_SQL, "op7_warc": OP7_SQL}
