@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .text_block import blocks
 
 CAPACITY, CHUNK, SLACK = 2048, 2048, 0.005
 
@@ -135,10 +136,10 @@ def _packer(path: str, end_id: int, capacity: int, with_ids: bool):
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+            for row, to, block in blocks(batch.column(1)):
+                flat, bounds = encode(block)
+                for n, doc_id in enumerate(batch.column(0).slice(row, to - row).to_pylist()):
+                    ids = flat[bounds[n] : bounds[n + 1]].astype("<u4").tobytes() + end
                     whole, place = len(ids) // 4, len(places)
                     places.append(doc_id)
                     full = whole - whole % capacity

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store, tokens
+from .text_block import blocks
 
 #: How files are laid out: bytes of a row group and a page, rows of a page, and the encodings.
 LAYOUT = {
@@ -33,15 +34,13 @@ LAYOUT = {
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [ids + end for ids in encode([t or "" for t in part.column(1).to_pylist()])]
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded])
-                flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), ids], names=["doc_id", "n_tokens", "ids"])
+            for row, to, block in blocks(batch.column(1)):
+                flat, bounds = encode(block)
+                ids = np.insert(flat, bounds[1:], end_id).view(np.int32)
+                ends = bounds + np.arange(len(bounds))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(np.diff(ends)), lists], names=["doc_id", "n_tokens", "ids"])
 
     return run
 

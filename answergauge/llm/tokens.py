@@ -1,50 +1,82 @@
-"""Token ids of whole texts by the tokenizers library."""
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
+
+A byte-level BPE cuts a text into words first, and no word goes over some places: from a letter to an ASCII character
+that is none, and back; before a space that a visible character follows; around a line end that stands alone. Texts are
+cut into pieces at these places (all at once, over the bytes of a block of texts), so the ids of the pieces in a row are the
+ids of the text. Pieces are told apart by 64 bits of hash; a worker keeps the ids of those it has seen, and the library
+encodes the others. Strings of special tokens in a text are ordinary text.
+"""
 
 from __future__ import annotations
 
 import json
-import re
-import sys
-from array import array
-from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
+
 from . import store
+from .text_block import TextBlock
 
-#: Distinct pieces that a worker keeps in each of two tables, and the longest piece in characters that it keeps.
-KEPT, LONGEST = 400_000, 64
-#: The words of a byte-level BPE, and the settings of its pre-tokenizer that go with them.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces, and ids of pieces, that a worker keeps; beyond, it begins anew.
+KEPT, KEPT_IDS = 800_000, 16_000_000
+#: The settings of the pre-tokenizer that pieces are right for.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-#: Characters of text whose pieces are gathered before new ones are encoded.
-GATHERED = 4 << 20
-#: A space before a character that is no white space always begins a token of a byte-level BPE.
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
-
-
-def _bytes(ids: list[int]) -> bytes:
-    found = array("I", ids)
-    if sys.byteorder == "big":
-        found.byteswap()
-    return found.tobytes()
+#: Kinds of bytes. A letter of two bytes from U+00C0 to U+00FF counts as letters; other bytes beyond ASCII are unknown.
+LETTER, DIGIT, OTHER, QUOTE, SPACE, LINE, UNKNOWN = range(7)
+
+
+def _kinds() -> np.ndarray:
+    table = np.full(256, OTHER, np.uint8)
+    table[0x80:] = UNKNOWN
+    table[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    table[0x30:0x3A] = DIGIT
+    table[0x27], table[0x20] = QUOTE, SPACE
+    table[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = LINE
+    return table
+
+
+def _cut() -> np.ndarray:
+    """For a byte's kind and that of the next, whether a word always ends between them, whatever else the text has."""
+    table = np.zeros((7, 7), bool)
+    table[LETTER, [DIGIT, OTHER, QUOTE, SPACE, LINE]] = True
+    table[DIGIT, [LETTER, OTHER, QUOTE, SPACE, LINE]] = True
+    table[OTHER, [LETTER, DIGIT, SPACE, LINE]] = True  # not before a quote: both may be of one word
+    table[QUOTE, [DIGIT, SPACE, LINE]] = True  # not before a letter: 's is a word
+    return table
+
+
+def cuts(block: TextBlock) -> np.ndarray:
+    """Where pieces begin, as places in the block's bytes, ascending; every text that isn't empty begins one."""
+    data = block.data
+    if not len(data):
+        return np.zeros(0, np.int64)
+    kind = _kinds()[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division are no letters
+    kind[lead] = kind[lead + 1] = LETTER
+    begin = np.zeros(len(data) + 1, bool)
+    begin[block.text_at] = True
+    before, now = kind[:-1], kind[1:]
+    at = _cut()[before, now]
+    # A space goes with the character behind it, if that is visible; the bytes left out may begin a white space.
+    visible = (kind <= QUOTE) | (kind == UNKNOWN) & (data != 0xC2) & (data != 0xE1) & (data != 0xE2) & (data != 0xE3)
+    at[:-1] |= (now[:-1] == SPACE) & visible[2:] & ~begin[2:-1]
+    # A line end alone, between characters that are known to be visible, is a word.
+    alone = (before[1:] == LINE) & (now[1:] <= QUOTE) & ((before[:-1] <= QUOTE) | begin[1:-2])
+    at[1:] |= alone
+    begin[1:-1] |= at
+    if len(data) > 1:  # a line end that begins a text and the block
+        begin[1] |= kind[0] == LINE and kind[1] <= QUOTE
+    return np.flatnonzero(begin[:-1])
 
 
 class PieceEncoder:
-    """Encodes texts, each distinct piece once.
-
-    The pre-tokenizer of a byte-level BPE never joins characters over the place before a space that a visible
-    character follows: a run of white space leaves its last space to the word behind it. So a text is cut there into
-    chunks, and the ids of its chunks in a row are the ids of the text. Chunks repeat, so most come from a table; a new
-    one is cut into words by the pre-tokenizer's own pattern, and just words that are new go through the BPE. Strings of
-    special tokens in a text are ordinary text.
-    """
+    """The ids of pieces seen so far, and the tokenizer for others."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,67 +84,51 @@ class PieceEncoder:
         kind = json.loads(self.tokenizer.to_str())
         if kind["normalizer"] or kind["pre_tokenizer"] != BYTE_LEVEL:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
-        self.words_in = regex.compile(WORDS).findall
-        self.words, self.first, self.later = _Table(), _Table(), _Table()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= GATHERED):
-                size += len(texts[to])
-                to += 1
-            out += self._gathered(texts[at:to])
-            at = to
-        return out
-
-    def _gathered(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        first = [chunks[0] for chunks in cut]
-        later = [chunks[1:] for chunks in cut]
-        one = self.first.ids_of(set(first), self._chunks)
-        more = self.later.ids_of(set(chain.from_iterable(later)), lambda new: self._chunks([" " + c for c in new]))
-        return [one[a] + b"".join(map(more.__getitem__, b)) for a, b in zip(first, later, strict=True)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [self.words_in(c) for c in chunks]
-        known = self.words.ids_of(set(chain.from_iterable(cut)), self._bpe)
-        return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in cut]
-
-    def _bpe(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            out += [_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-        return out
-
-
-class _Table:
-    """Ids of pieces, those seen lately: what isn't asked for while KEPT others are goes."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids_of(self, pieces: set[str], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A table with the ids of these pieces at least."""
-        new = pieces.difference(self.young)
-        found = {p: self.old[p] for p in new if p in self.old}
-        new.difference_update(found)
-        asked = list(new)
-        found.update(zip(asked, encode(asked), strict=True))
-        self.young.update(found)
-        known = self.young
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        if any(len(p) > LONGEST for p in asked):  # these are used once, from a copy, and not kept
-            known = {p: known[p] for p in pieces}
-            for p in asked:
-                if len(p) > LONGEST:
-                    self.young.pop(p, None)
-                    self.old.pop(p, None)
-        return known
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}  # of a piece, by its hash
+        self.start = np.zeros(1 << 12, np.int64)  # of its ids
+        self.count = np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        found = []
+        for at in range(0, len(pieces), 4096):
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, new, end = len(self.place), len(found), self.used + int(sizes.sum())
+        while n + new > len(self.start):
+            self.start, self.count = np.concatenate((self.start, self.start)), np.concatenate((self.count, self.count))
+        while end > len(self.ids):
+            self.ids = np.concatenate((self.ids, self.ids))
+        self.count[n : n + new] = sizes
+        self.start[n : n + new] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+        self.used = end
+        self.place.update(zip(hashes, range(n, n + new), strict=True))
+
+    def encode(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, bounds of each text's ids)."""
+        first = cuts(block)
+        last = np.append(first[1:], len(block.data))
+        hashes, some, which = np.unique(block.spans(first, last), return_index=True, return_inverse=True)
+        if len(self.place) > KEPT or self.used > KEPT_IDS:
+            self._forget()
+        keys = hashes.tolist()
+        place = [self.place.get(k, -1) for k in keys]
+        new = [i for i, p in enumerate(place) if p < 0]
+        if new:
+            data, a, b = block.data.tobytes(), first[some[new]].tolist(), last[some[new]].tolist()
+            self._learn([keys[i] for i in new], [data[x:y].decode() for x, y in zip(a, b, strict=True)])
+            place = [self.place[k] for k in keys]
+        at = np.array(place, np.int64)[which]
+        count = self.count[at]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(total)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(first, block.text_at)]
 
 
 def encoder(path: str) -> PieceEncoder:

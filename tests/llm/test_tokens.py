@@ -1,9 +1,11 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from answergauge.llm import packing, queries, token_store, tokens
+from answergauge.llm import packing, queries, text_block, token_store, tokens
 
 SCHEMA = "doc_id long, text string, ids string"
 TEXTS = [
@@ -24,12 +26,23 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def encoded(encoder, texts):
+    out = []
+    for _, _, block in text_block.blocks(pa.array(texts, pa.string())):
+        ids, bounds = encoder.encode(block)
+        out += [ids[bounds[k] : bounds[k + 1]].tolist() for k in range(block.n)]
+    return out
+
+
 @pytest.mark.parametrize("kept", [3, 400_000])
-def test_pieces_give_the_ids_of_the_text(plain, kept, monkeypatch):
+@pytest.mark.parametrize("size", [1, 60, 2 << 20])
+def test_pieces_give_the_ids_of_the_text(plain, kept, size, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", kept)
-    texts = [t or "" for t in TEXTS] * 2 + [" ".join(t or "" for t in TEXTS)]
-    found = tokens.PieceEncoder(queries.tokenizer_path()).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain(t) for t in texts]
+    monkeypatch.setattr(text_block, "BYTES", size)
+    rng = random.Random(size)
+    marks = [*"ab'sZ09 .,-#\n\t\r", "é", "×", "÷", "…", "’", "\u2009", "\u00a0", "\u3000", "\u2028", "日", "œ", "\x1c", "\x85", "²", "\u0301", "'s", "'ll", "  ", "\n\n", " \n", "😀"]
+    texts = TEXTS * 2 + [" ".join(t or "" for t in TEXTS)] + ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(2000)]
+    assert encoded(tokens.PieceEncoder(queries.tokenizer_path()), texts) == [plain(t) for t in texts]
 
 
 def test_difference_is_near_equal():
