@@ -1,0 +1,165 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from answergauge.operators import correct, gates, group, reports, stats
+from answergauge.plans import queries as plans
+from answergauge.sources import corpus
+
+
+def rounds(spark, rows):
+    """(id, intent, epoch, score, candidate) as rounds."""
+    return spark.createDataFrame(
+        [(i, n, e, s, c, "m", "a question of length", "a truth that is long enough for the gate", "an answer", k) for k, (i, n, e, s, c) in enumerate(rows)],
+        "id string, intent_id string, epoch_id long, score double, candidate double, miner_slug string, question string, ground_truth string, miner_answer string, pos long",
+    )
+
+
+def rho(spark, x, y):
+    rows = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y, strict=True)], "k string, x double, y double")
+    return stats.spearman(rows, ["k"], "x", "y").first()
+
+
+def test_spearman(spark):
+    assert rho(spark, [1, 2, 3, 4], [1, 2, 3, 4]).rho == pytest.approx(1)
+    assert rho(spark, [1, 2, 3, 4], [8, 6, 4, 2]).rho == pytest.approx(-1)
+    x, y = [0.1, 0.5, 0.2, 0.9, 0.7], [1, 3, 2, 2, 5]
+    assert rho(spark, x, y).rho == pytest.approx(rho(spark, [math.exp(3 * v) for v in x], y).rho)
+    assert rho(spark, [1, 1, 1], [1, 2, 3]).rho is None and rho(spark, [1], [2]).rho is None
+    assert rho(spark, [0.1] * 5, [1, 2, 3, 4, 5]).x_constant
+
+
+def test_spearman_equals_brute_force_with_ties(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 5, 60), rng.integers(0, 7, 60)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert rho(spark, x, y).rho == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_ranks_of_ties(spark):
+    rows = spark.createDataFrame([("g", v, k) for k, v in enumerate([5.0, 1.0, 1.0, 1.0, 9.0])], "k string, v double, n int")
+    assert [r.v_rank for r in stats.fractional_ranks(rows, ["k"], ["v"]).orderBy("n").collect()] == [4, 2, 2, 2, 5]
+    assert [r.r for r in rows.select("n", stats.average_rank("v", ["k"]).alias("r")).orderBy("n").collect()] == [4, 2, 2, 2, 5]
+
+
+def test_gate2(spark):
+    g = lambda v: gates.gate2(spark.createDataFrame([(float(x),) for x in v], "score double")).first()
+    assert g([2, 4, 4, 4, 5, 5, 7, 9]).spread == pytest.approx(2)
+    assert (g([0.5]).status, g([]).status, g([0.3, 0.3]).status) == ("UNDEFINED", "UNDEFINED", "FAIL")
+    assert g([0.0, 0.125]).status == "PASS" and g([0.0, 0.05]).status == "FAIL"
+
+
+def test_gate1(spark):
+    g = lambda v: gates.gate1(spark.createDataFrame(v, "self_score double, cross_score double")).first()
+    assert g([(0.9, 0.1)] * 3 + [(0.1, 0.2)] * 2).status == "PASS"
+    assert g([(0.9, 0.1)] * 1 + [(0.1, 0.2)] * 2).status == "FAIL"
+    assert g([]).status == "UNDEFINED"
+
+
+def test_gate3_statuses_and_order(spark):
+    rows = [(f"a{k}", "A", 1, k / 10, k / 10) for k in range(5)] + [(f"b{k}", "B", 1, k / 10, -k / 10) for k in range(4)]
+    rows += [(f"c{k}", "C", 1, 0.5, k / 10) for k in range(4)] + [(f"d{k}", "D", 1, k / 10, 0.2) for k in range(4)] + [(f"e{k}", "E", 1, k / 10, k / 10) for k in range(3)]
+    scored = rounds(spark, rows).withColumn("reference", F.col("score"))
+    groups = gates.gate3_groups(scored, True)
+    got = groups.orderBy(*gates.gate3_order()).collect()
+    assert [(r.intent_id, r.epoch, r.status, r.why) for r in got] == [("B", -1, "FAIL", None), ("A", -1, "PASS", None), ("C", -1, "UNDEFINED", "constant reference"), ("D", -1, "UNDEFINED", "constant candidate")]
+    one = gates.gate3(groups).first()
+    assert (one.groups, one.defined, one.failing, one.undefined, one.constant_candidate, one.min_intent, one.status) == (4, 2, 1, 2, 1, "B@-1", "FAIL")
+    assert gates.gate3_reason(groups).first().reason == "B:-1.000000 A:1.000000"
+    assert [r.line.split()[0] for r in reports.gate_lines(groups).collect()] == ["B", "A", "C", "D"]
+    only = gates.gate3(groups.where("status = 'UNDEFINED'")).first()
+    assert only.status == "UNDEFINED" and only.min_rho is None and only.min_intent == ""
+    assert gates.gate3(groups.where("rho = 1")).first().min_intent == ""
+
+
+def test_threshold_of_gate3_is_inclusive(spark):
+    # ranks 1 2 3 4 5 against 2 1 4 5 3: rho = 1 - 6 * 8 / 120 = 0.6
+    scored = rounds(spark, [(str(k), "A", 1, float(v), float(k)) for k, v in enumerate([2, 1, 4, 5, 3])]).withColumn("reference", F.col("score"))
+    r = gates.gate3_groups(scored, True).first()
+    assert r.rho == pytest.approx(0.6) and (r.status == "PASS" or r.rho < 0.6)
+
+
+def test_verdict_names_the_first_gate_that_fails(spark):
+    rows = rounds(spark, [(f"{n}{k}", n, 1, k / 10, k / 10) for n in "AB" for k in range(5)])
+    scores = rows.select("id", F.col("candidate").alias("score"))
+    reference = rows.select("id", "score")
+    good = lambda q, t, a: F.when(t == a, 0.9).otherwise(0.1)
+    apart = rows.withColumn("ground_truth", F.concat("ground_truth", "intent_id"))
+    assert tuple(gates.run_gates(apart, scores, reference, good).first()) == ("PASS", "PASS", "PASS", True, "")
+    flat = gates.run_gates(apart, scores.withColumn("score", F.lit(0.5)), reference, good).first()
+    assert (flat.gate2, flat.gate3, flat.activates, flat.reason) == ("FAIL", "UNDEFINED", False, "gate 2: spread 0.0000")
+    none = gates.run_gates(apart.where("intent_id = 'A'"), scores, reference, good).first()
+    assert (none.gate1, none.activates, none.reason) == ("UNDEFINED", False, "")
+
+
+def test_structural_pairs_turn_around(spark):
+    rows = rounds(spark, [("a", "A", 1, 0.0, 0.0), ("a2", "A", 1, 0.0, 0.0), ("b", "B", 1, 0.0, 0.0), ("c", "C", 1, 0.0, 0.0)]).withColumn("question", F.when(F.col("id") == "a", "short").otherwise(F.col("question")))
+    assert [(r.intent_id, r.id, r.cross_intent) for r in gates.structural_pairs(rows).orderBy("intent_id").collect()] == [("A", "a2", "B"), ("B", "b", "C"), ("C", "c", "A")]
+
+
+def test_groups_and_subset(spark):
+    rows = [(f"x{e}{k}", "X", e, k / 10, 0.0) for e in range(1, 6) for k in range(4)] + [(f"y{k}", "Y", 1, 0.5, 0.0) for k in range(4)] + [(f"z{k}", "Z", 1, k / 10, 0.0) for k in range(3)]
+    table = rounds(spark, rows)
+    assert {(r.intent_id, r.epoch, r.n) for r in group.both_grains(table, 4).collect()} == {("X", e, 4) for e in range(1, 6)} | {("X", -1, 20), ("Y", 1, 4), ("Y", -1, 4)}
+    assert {(r.intent_id, r.epoch_id) for r in group.subset(table, per_intent=2).collect()} == {("X", 4), ("X", 5)}
+    assert {(r.intent_id, r.epoch_id) for r in group.subset(table, rankable_only=False, per_intent=0, since=5).collect()} == {("X", 5)}
+    assert group.rankable(table).where("intent_id = 'Y'").isEmpty()
+    one = group.summarise(table.withColumn("miner_answer", F.lit(" "))).first()
+    assert (one.rows, one.intents, one.epochs, one.blank_answers, one.zero_scores) == (27, 3, [1, 2, 3, 4, 5], 27, 6)
+
+
+def test_catches(spark):
+    rows = rounds(spark, [(str(k), "A", 1, 0.0, 0.0) for k in range(5)])
+    canonical = spark.createDataFrame([("0", 0.70), ("1", 0.75), ("2", 0.9), ("3", 0.8)], "id string, score double")
+    candidate = spark.createDataFrame([("0", 0.0), ("1", 0.65), ("2", 0.85)], "id string, score double")
+    found = gates.eligible(rows, canonical, candidate)
+    assert [r.id for r in gates.catches(found).collect()] == (["1"] if 0.75 - 0.65 >= 0.10 else [])
+    one = gates.catch_rate(found).first()
+    assert one.eligible == 3 and one.rate == one.catches / 3
+    assert gates.catch_rate(found.limit(0)).first().rate == 0
+
+
+def test_verify(spark):
+    a = spark.createDataFrame([("1", 0.5), ("2", 0.0), ("3", 0.25)], "id string, score double")
+    b = spark.createDataFrame([("1", 0.5 + 1e-12), ("2", -0.0), ("3", 0.2)], "id string, score double")
+    assert {r.id for r in reports.verify_bits(a, b).collect()} == {"2", "3"}
+    one = reports.verify_bounds(a, b, 0.04).first()
+    assert (one.rows, one.raised, one.beyond) == (3, 0, 1)
+
+
+def test_warnings():
+    cfg = correct.DetectorConfig
+    assert reports.config_warnings(cfg()) == []
+    assert len(reports.config_warnings(cfg(max_correction=0.15))) == 2 and len(reports.config_warnings(cfg(max_correction=0.10))) == 2
+
+
+def test_explain(spark):
+    rows = rounds(spark, [(str(k), "Ab", k, 0.1, 0.0) for k in range(4)]).withColumn("ground_truth", F.lit("It is $5.")).withColumn("miner_answer", F.when(F.col("id") == "2", "It is $7.").otherwise("It is $5."))
+    assert [r.id for r in reports.explain(rows, intent="aB", limit=2).collect()] == ["3", "2"]
+    (r,) = reports.explain(rows, fired_only=True).collect()
+    assert r.id == "2" and [n.value for n in r.headline] == [5.0] and [n.value for n in r.answer_numbers] == [7.0]
+    assert reports.explain(rows, row_id="1", miner="x").isEmpty()
+
+
+def test_last_of_repeated_ids(spark):
+    rows = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2), ("b", 1, 0.3)], "id string, pos int, score double")
+    assert {r.id: r.score for r in corpus.last_by_id(rows).collect()} == {"a": 0.2, "b": 0.3}
+
+
+@pytest.mark.parametrize("name", ["rank_agreement_pooled", "catch_rate", "bm25_score", "correction", "simulate_gates", "structural_gate", "gate3_summary", "refusal_flags"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    pytest.importorskip("os").path.isdir(folder) or pytest.skip("no test tables here")
+    con = duckdb.connect()
+    for t in ("events", "orders", "conversations", "documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = plans.queries()[name](spark, folder)
+    want = con.execute(plans.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    tidy = lambda rows: sorted((tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in rows), key=str)
+    assert tidy(tuple(r[n] for n in names) for r in got.collect()) == tidy(want.fetchall())
