@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target in words. A document of a source with target / size = r is expected r times: floor(r)
-copies are certain, and one more is drawn with inclusion probability p = r - floor(r). Draws are ranked by
+Each source gets a target in words. A document is expected e times: target / size of its source, or in
+proportion to a weight of its own. floor(e) copies are certain, and one more is drawn with inclusion probability
+p = e - floor(e), so probabilities differ from source to source and, with weights, from document to document. Draws are ranked by
 (odds of a uniform number of the document) / (odds of p), the Pareto rank, and the ranks are taken from the lowest up
 to the size that is left of the target. The uniform number is a digest of the document's id, so reruns agree.
 
@@ -72,42 +73,50 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return run.select("source", "source_size", target.alias("target"))
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight_col: str | None) -> DataFrame:
+    weight = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"), draw_of(F.col(id_col), seed).alias("u")
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"), draw_of(F.col(id_col), seed).alias("u"), weight.alias("w")
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None
+) -> DataFrame:
     """id_col, source, size, source_size, target, copies and taken (copies * size) for each row of docs.
 
+    weight_col: what a document's expected copies are in proportion to within its source (most at most); without it all
+    documents of a source are expected alike. A weight that is null or below 0 counts as 0: the document isn't taken.
+
     Rows of a null source form a source, last in order. A document without words has size 0 and costs nothing; it
     gets its certain copies. Whole documents are taken: the one that reaches the target is in if at least half of it
     fits, so a source misses its target by half a document at most. Equal ranks go by id, then size. Repeated rows
     count each. An empty table gives an empty result.
     """
-    rows = store.cut(_counted(docs, id_col, text_col, source_col, seed))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("ratio", ratio).withColumn("certain", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("certain"))
-    goal = store.cut(goal.withColumn("need", F.col("target") - F.col("certain") * F.col("source_size")).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    keyed = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    rows = store.cut(_counted(docs, id_col, text_col, source_col, seed, weight_col))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"), F.count("*").alias("rows"))
+    goal = sizes.select("source", "weighted", "rows").alias("a").join(targets(sizes.select("source", "source_size"), weights, share, most).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    known = goal.select(F.col("b.source").alias("source"), "source_size", "target", "rows", F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(F.lit(0.0)).alias("ratio"))
+    known = store.cut(known.withColumn("key", key).drop("source"))
+    total = rows.count()
     # One row a source; a source can be hot, so the sources that hold most rows are broadcast and the others shuffled.
-    counts = keyed.groupBy("key").agg(F.count("*").alias("rows"))
-    known = store.cut(goal.join(counts, "key").drop("source"))
-    total = keyed.count()
-    each = store.lookup(keyed, known, "key", "rows", total)
+    each = store.lookup(rows.withColumn("key", key), known, "key", "rows", total).drop("rows")
+    expected = F.least(F.lit(float(most)), F.col("ratio") * F.col("w"))
+    each = each.withColumn("e", expected).withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     each = each.withColumn("q", F.when(F.col("p") > 0, odds))
     each = each.withColumn("cell", F.when(F.col("p") > 0, F.least(F.floor(F.lit(CELLS) * F.col("q") / (1 + F.col("q"))), F.lit(CELLS - 1))).cast("int"))
-    sums = each.where("p > 0").groupBy("key", "cell").agg(F.sum("size").alias("cell_size"), F.first("need").alias("need"))
-    up_to = Window.partitionBy("key").orderBy("cell")
-    run = sums.withColumn("after", F.sum("cell_size").over(up_to)).withColumn("before", F.col("after") - F.col("cell_size"))
-    reached = run.where((F.col("before") <= F.col("need")) & (F.col("after") > F.col("need")))
-    reached = reached.groupBy("key").agg(F.min("cell").alias("last_cell"), F.min_by("before", "cell").alias("before"))
-    edge = known.select("key", "rows").join(reached, "key", "left")  # no last cell: all are taken
-    each = store.lookup(each, store.cut(edge.withColumnRenamed("rows", "rows_")), "key", "rows_", total)
+    sums = each.groupBy("key", "cell").agg(
+        F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("cell_size"), F.sum(F.col("certain") * F.col("size")).alias("cell_certain"), F.first("target").alias("goal"), F.count("*").alias("cell_rows")
+    )
+    source, up_to = Window.partitionBy("key"), Window.partitionBy("key").orderBy("cell")
+    run = sums.withColumns({"need": F.col("goal") - F.sum("cell_certain").over(source), "rows": F.sum("cell_rows").over(source), "after": F.sum("cell_size").over(up_to)})
+    reached = F.col("cell").isNotNull() & (F.col("after") - F.col("cell_size") <= F.col("need")) & (F.col("after") > F.col("need"))
+    edge = run.groupBy("key").agg(
+        F.min(F.when(reached, F.col("cell"))).alias("last_cell"), F.min_by(F.col("after") - F.col("cell_size"), F.when(reached, F.col("cell"))).alias("before"), F.first("need").alias("need"), F.first("rows").alias("rows")
+    )  # no last cell: all are taken
+    each = store.lookup(each, store.cut(edge), "key", "rows", total)
     inside = each.where((F.col("p") > 0) & (F.col("cell") == F.col("last_cell")))
     order = Window.partitionBy("key").orderBy("q", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(order)

@@ -62,3 +62,14 @@ def test_sample_has_each_row_as_often_as_it_is_taken(spark):
 def test_empty_table(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.sample(table(spark, [])).count() == 0
+
+
+def test_weights_of_documents(spark):
+    """Expected copies follow the weights within a source; the source still gets its target."""
+    rows = [(i, 10, "a", [0.5, 1.0, 2.0][i % 3]) for i in range(900)] + [(1000, 10, "a", None), (1001, 10, "a", -1.0), (1002, 7, "b", 0.0)]
+    docs = spark.createDataFrame([(i, "w " * n, s, w) for i, n, s, w in rows], "doc_id long, text string, source string, score double")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1), weight_col="score").collect()}
+    copies = [sum(got[i].copies for i in range(k, 900, 3)) / 300 for k in range(3)]
+    assert copies[0] < 0.75 * copies[1] and copies[1] < 0.75 * copies[2] + 0.3 and all(r.copies <= 2 for r in got.values())
+    assert got[1000].copies == got[1001].copies == got[1002].copies == 0
+    assert abs(sum(r.taken for r in got.values() if r.source == "a") - got[0].target) <= 5
