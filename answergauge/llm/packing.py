@@ -69,11 +69,13 @@ def pack(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> li
         least = -(-total // capacity)
         k, rise = least, 1
         windows = difference(lengths, k)
-        while max(sum(lengths[i] for i in w) for w in windows) > capacity and k + rise <= least * (1 + slack):
+        sums = [sum(lengths[i] for i in w) for w in windows]
+        # A rise of the count by SLACK lowers sums by about as much, so it can't help where they are further over.
+        while capacity < max(sums) <= capacity * (1 + 2 * slack) and k + rise <= least * (1 + slack):
             k += rise
             rise *= 2
             windows = difference(lengths, k)
-        sums = [sum(lengths[i] for i in w) for w in windows]
+            sums = [sum(lengths[i] for i in w) for w in windows]
         if max(sums) <= capacity:
             done += [[pool[i] for i in sorted(w)] for w in windows if w]
             break
