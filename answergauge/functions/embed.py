@@ -34,6 +34,14 @@ def hashed_id(word: str) -> int:
     return h % (VOCABULARY - 103) + 103
 
 
+def vocabulary(lines: list[str]) -> dict[str, int]:
+    """Pieces and their ids, from lines in order of the ids; a piece is cut at LONGEST_PIECE bytes, the first one stays."""
+    out: dict[str, int] = {}
+    for i, line in enumerate(lines):
+        out.setdefault(line.rstrip("\n").encode()[:LONGEST_PIECE].decode("utf-8", "ignore"), i)
+    return out
+
+
 def wordpiece(vocabulary: dict[str, int]) -> Callable[[str], list[int]]:
     """Ids of the longest pieces of a word, from its start; [UNK] for a word with a part that no piece covers."""
 

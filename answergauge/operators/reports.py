@@ -130,7 +130,53 @@ def registry_summary(registry: DataFrame) -> DataFrame:
     return registry.groupBy(F.col("ActivationStatus").alias("status")).agg(F.count("*").alias("n"), F.sum("EvalErrorCount").alias("errors"))
 
 
+def compare_corrections(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id and field of each difference between two tables of corrections (id, correction), as float32."""
+    both = a.select("id", F.col("correction").alias("a")).join(b.select("id", F.col("correction").alias("b")), "id")
+    fields = ["total", "numeric", "ident", "refusal", "gt_refused", "numeric_coverage", "ident_coverage"]
+    differs = F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields])
+    return both.select("id", F.explode(F.array_compact(differs)).alias("field"))
+
+
 def gate_lines(groups: DataFrame) -> DataFrame:
-    """line, order: the report on gate 3, a line for each group."""
-    shown = F.format_string("  %-24s %6s %5d %9s  %s", F.substring("intent_id", 1, 24), F.when(F.col("epoch") == -1, "pooled").otherwise(F.col("epoch").cast("string")), "n", F.coalesce(F.format_string("%.4f", "rho"), F.lit("-")), F.coalesce("why", "status"))
+    """line: the report on gate 3, a line for each group, failures first."""
+    epoch = F.when(F.col("epoch") == -1, "pooled").otherwise(F.col("epoch").cast("string"))
+    shown = F.format_string("  %-24s %6s %5d %9s  %s", F.substring("intent_id", 1, 24), epoch, "n", F.coalesce(F.format_string("%.4f", "rho"), F.lit("-")), F.coalesce("why", "status"))
     return groups.orderBy(*gates.gate3_order()).select(shown.alias("line"))
+
+
+def catch_lines(found: DataFrame, n: int = 20) -> DataFrame:
+    """line: the largest catches."""
+    line = F.format_string("  %-24s %-20s %7.4f %7.4f %+8.4f", F.substring("intent_id", 1, 24), F.substring("miner_slug", 1, 20), "canonical", "candidate", -F.col("delta"))
+    return gates.catches(found).limit(n).select(line.alias("line"))
+
+
+def compare_lines(diff: DataFrame, n: int = 20) -> DataFrame:
+    """line: the largest differences between two scorers."""
+    return top_changes(diff, n).select(F.format_string("  %-40s %.8g %.8g %+.4f", "id", "a", "b", "d").alias("line"))
+
+
+def simulate_lines(found: DataFrame) -> DataFrame:
+    """line: one for each setting that was tried (see sweep())."""
+    worst = F.coalesce(F.format_string("%s %.4f", F.substring("min_intent", 1, 20), "min_rho"), F.lit("-"))
+    line = F.format_string("%-16s mean=%.4f  worst=%-28s fail=%d  fired=%4.1f%%  catch=%d", "setting", "mean_rho", worst, "failing", text.pct(F.col("fired"), F.col("rows")), "catches")
+    return found.select(line.alias("line"))
+
+
+def fired_lines(corrected: DataFrame, n: int = 20) -> DataFrame:
+    """line: the largest corrections, with the detectors that fired."""
+    c = F.col("correction")
+    which = F.concat_ws(
+        " ",
+        F.when(c["numeric"] < 0, F.format_string("num(%.0f%%)", 100 * c["numeric_coverage"])),
+        F.when(c["ident"] < 0, F.format_string("id(%.0f%%)", 100 * c["ident_coverage"])),
+        F.when(c["refusal"] < 0, F.lit("refusal")),
+    )
+    line = F.format_string("  %-24s %-20s %+8.4f  %s", F.substring("intent_id", 1, 24), F.substring("miner_slug", 1, 20), c["total"].cast("double"), which)
+    return corrected.where(correct.fired(c)).orderBy(c["total"], "id").limit(n).select(line.alias("line"))
+
+
+def registry_lines(registry: DataFrame) -> DataFrame:
+    """line: a line for each registration."""
+    line = F.format_string("  %5d %-10s %-24s %10.2f %5d  %s", "RegistrationID", F.coalesce("ActivationStatus", F.lit("")), F.coalesce("IntentID", F.lit("")), F.coalesce("BondAmount", F.lit(0.0)), F.coalesce("EvalErrorCount", F.lit(0)), F.coalesce("RejectionReason", F.lit("")))
+    return registry.orderBy("RegistrationID").select(line.alias("line"))

@@ -79,6 +79,8 @@ LEXICAL_SCORER = Scorer("lexical", "lexical-1", lambda q, t, a: composite(bm25(q
 
 def with_embeddings(rows: DataFrame, columns: list[str], embed) -> DataFrame:
     """rows with a vector for each text column (name_vec); each distinct text is embedded once."""
+    if not columns:
+        return rows
     texts = None
     for c in columns:
         part = rows.select(F.coalesce(F.col(c), F.lit("")).alias("text"))

@@ -25,18 +25,27 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Rounds of a folder of page documents, in order of their offsets, each id that isn't empty once."""
-    pages = spark.read.schema(schema.ENVELOPE).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rounds of page documents (a file each, or a line each), in order of their offsets, each id that isn't empty once."""
+    pages = spark.read.schema(schema.ENVELOPE).option("multiLine", not lines).json(path)
     rows = pages.select("offset", F.posexplode("scores").alias("at", "r"))
     return dedup_first(_whole(rows.select((F.coalesce("offset", F.lit(0)) + F.col("at")).alias("pos"), "r.*")))
 
 
 def write_corpus(rows: DataFrame, path: str, order: str = "pos") -> None:
-    """Rounds as JSON documents of the same form, one per partition; Parquet is the form for corpora of any size."""
+    """Rounds as one JSON document of the form that read_corpus reads: for corpora that one task can hold."""
+    _documents(rows.withColumn("page__", F.lit(0)), order).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_pages(rows: DataFrame, path: str, page: int = 500) -> None:
+    """Rounds as page documents, a line for each page of pos: any size; read_pages(lines=True) reads them."""
+    _documents(rows.withColumn("page__", F.floor(F.col("pos") / page)), "pos").write.mode("overwrite").json(path)
+
+
+def _documents(rows: DataFrame, order: str) -> DataFrame:
     fields = F.struct(*[F.col(f.name) for f in schema.ROUND])
-    one = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), fields.alias("r")))), lambda x: x["r"]).alias("scores"), F.count("*").alias("total"))
-    one.select("scores", "total", F.col("total").alias("limit"), F.lit(0).cast("long").alias("offset")).coalesce(1).write.mode("overwrite").json(path)
+    one = rows.groupBy("page__").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), fields.alias("r")))).alias("all"), F.count("*").alias("total"), F.min(order).alias("offset"))
+    return one.select(F.transform("all", lambda x: x["r"]).alias("scores"), "total", F.col("total").alias("limit"), F.col("offset").cast("long").alias("offset"))
 
 
 def dedup_first(rows: DataFrame, id_col: str = "id", order: str = "pos") -> DataFrame:
