@@ -2,7 +2,8 @@
 
 Rows with equal text are one atomic group (by the XXH64 of the text; texts that collide share a group, which keeps
 every promise made here). Groups are ordered by that hash. The smallest capacity at which a greedy walk over the
-ordered groups fills at most n shards is found by binary search, and the cuts are those of the walk at that capacity.
+ordered groups fills at most n shards is found by binary search, and the cuts keep to that capacity. Of all such cuts (the
+walk's own leave the last shard with what is over) those nearest to equal shares are taken.
 
 A group that alone is at least the fair share of what is left to deal out gets a shard of its own first (there are
 fewer than n of these, whatever the data), so that one hot text doesn't set the capacity for all other shards.
@@ -15,7 +16,7 @@ driver's state and the number of passes don't depend on the number of rows.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,11 +94,50 @@ def minimax_cuts(groups: DataFrame, n: int) -> tuple[list[int], int]:
         if not open_:
             if low < high:  # every cut is known at either capacity, so the least is found among whole groups
                 high = _least(ends, [1] * len(ends), n, low, high, False)
-            cuts = _walk(ends, [1] * len(ends), high, n, False)
-            return [parts[order[bisect_right(ends, c) - 1]][2] for c in cuts], high
+            cuts, asked = _even(ends, atom, high, n)
+            if not asked:
+                return [parts[order[bisect_right(ends, c) - 1]][2] for c in cuts], high
+            open_ = {order[i] for i in asked}
         parts = _divide(groups, parts, open_)
 
 
+def _even(ends: list[int], atom: list[int], capacity: int, n: int) -> tuple[list[int], set[int]]:
+    """Cuts that keep to the capacity and are as even as the groups allow; cells that have to be divided first.
+
+    A walk from the end says how far each cut has to be at least. From the start on, each cut is the end of a group
+    nearest to an equal share of what is left, but there at least.
+    """
+    total, asked = ends[-1], set()
+    least = [total]
+    for _ in range(n - 1):
+        i = bisect_left(ends, least[-1] - capacity)  # the first cell that ends there or later
+        if least[-1] <= capacity:
+            least.append(0)
+            continue
+        if atom[i] > 1 and ends[i] > least[-1] - capacity:
+            asked.add(i)
+        least.append(ends[i])
+    least.reverse()
+    at, cuts = 0, []
+    for k in range(n - 1):
+        if at == total:
+            break
+        goal = at + (total - at) / (n - k)
+        i = bisect_left(ends, goal)
+        if atom[i] > 1:
+            asked.add(i)
+        before, after = (ends[i - 1] if i else 0), ends[i]
+        cut = after if after - goal < goal - before and after <= at + capacity else before
+        if cut <= at:
+            i = bisect_right(ends, at)
+            if atom[i] > 1:
+                asked.add(i)
+            cut = ends[i]
+        at = max(cut, least[k])
+        cuts.append(at)
+    return (cuts if at == total else [*cuts, total]), asked
+
+
 def _behind(ends: list[int], capacity: int, n: int) -> list[int]:
     """A bound from below on the cuts of n steps, for a capacity at which whole cells don't do."""
     at, cuts = 0, []

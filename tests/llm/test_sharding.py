@@ -42,6 +42,8 @@ def test_cuts_are_minimax(spark, n, monkeypatch):
     for h, s in rows:
         fill[sum(h > c for c in cuts)] += s
     assert max(fill.values()) <= capacity
+    if n == 5:
+        assert max(fill.values()) - min(fill.values()) <= 2 * 300
 
 
 def test_rows_of_a_shard(spark):
