@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
-BYTES = 2 << 20
+BYTES = 1 << 20
 #: An odd multiplier for the polynomial hash of words, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
