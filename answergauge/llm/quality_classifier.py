@@ -106,8 +106,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     for g in sorted(share):
         part = rated.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(PER_GRADE)
         some = part if some is None else some.unionByName(part)
-    chosen = docs.join(F.broadcast(some.dropDuplicates(["id"])), docs[id_col] == F.col("id"))
-    chosen = chosen.select("id", docs[text_col].alias("text"), "grade")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = rows.join(F.broadcast(some.dropDuplicates(["id"])), "id").select("id", "text", "grade")
     kind = chosen.schema["id"].dataType.simpleString()
     found = chosen.mapInArrow(_featured, f"doc_id {kind}, buckets binary, values binary, grade int").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.buckets)))

@@ -49,8 +49,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """For each bucket, log of its share in the trusted documents over its share in all. trusted: ids, a column."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRUSTED)
-    marked = docs.join(F.broadcast(ids.withColumn("good", F.lit(True))), docs[id_col] == F.col("id"), "left")
-    counted = marked.select(docs[text_col].alias("text"), "good").mapInArrow(_counted, "bucket long, raw long, good long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = rows.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
+    counted = marked.select("text", "good").mapInArrow(_counted, "bucket long, raw long, good long")
     found = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["good"]
