@@ -17,8 +17,8 @@ import numpy as np
 from . import store
 from .text_block import TextBlock
 
-#: Pieces, and ids of pieces, that a worker keeps; beyond, it begins anew.
-KEPT, KEPT_IDS = 800_000, 16_000_000
+#: Pieces, and ids of pieces, that a worker keeps; beyond, it forgets those that it has seen least.
+KEPT, KEPT_IDS = 500_000, 8_000_000
 #: The settings of the pre-tokenizer that pieces are right for.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Kinds of bytes. A letter of two bytes from U+00C0 to U+00FF counts as letters; other bytes beyond ASCII are unknown.
@@ -84,25 +84,49 @@ class PieceEncoder:
         kind = json.loads(self.tokenizer.to_str())
         if kind["normalizer"] or kind["pre_tokenizer"] != BYTE_LEVEL:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
-        self._forget()
+        self._begin()
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.place: dict[int, int] = {}  # of a piece, by its hash
+        self.key = np.zeros(1 << 12, np.uint64)  # of the piece at a place
         self.start = np.zeros(1 << 12, np.int64)  # of its ids
         self.count = np.zeros(1 << 12, np.int64)
+        self.seen = np.zeros(1 << 12, np.int64)  # blocks that had it, halved each time that others are forgotten
         self.ids = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces that most blocks had, half of KEPT and KEPT_IDS at most."""
+        n = len(self.place)
+        order = np.argsort(-self.seen[:n], kind="stable")[: KEPT // 2]
+        keep = order[np.cumsum(self.count[order]) <= KEPT_IDS // 2]
+        count, start = self.count[keep], self.start[keep]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        old = self.key[keep], self.seen[keep] // 2
+        self._begin()
+        self._room(len(keep), len(ids))
+        self.key[: len(keep)], self.seen[: len(keep)] = old
+        self.count[: len(keep)], self.start[: len(keep)], self.ids[: len(ids)] = count, ends - count, ids
+        self.used = len(ids)
+        self.place.update(zip(self.key[: len(keep)].tolist(), range(len(keep)), strict=True))
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while pieces > len(self.start):
+            for name in ("key", "start", "count", "seen"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate((held, np.zeros_like(held))))
+        while ids > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         found = []
         for at in range(0, len(pieces), 4096):
             found += [x.ids for x in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         n, new, end = len(self.place), len(found), self.used + int(sizes.sum())
-        while n + new > len(self.start):
-            self.start, self.count = np.concatenate((self.start, self.start)), np.concatenate((self.count, self.count))
-        while end > len(self.ids):
-            self.ids = np.concatenate((self.ids, self.ids))
+        self._room(n + new, end)
+        self.key[n : n + new] = hashes
         self.count[n : n + new] = sizes
         self.start[n : n + new] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
@@ -123,7 +147,9 @@ class PieceEncoder:
             data, a, b = block.data.tobytes(), first[some[new]].tolist(), last[some[new]].tolist()
             self._learn([keys[i] for i in new], [data[x:y].decode() for x, y in zip(a, b, strict=True)])
             place = [self.place[k] for k in keys]
-        at = np.array(place, np.int64)[which]
+        place = np.array(place, np.int64)
+        self.seen[place] += 1
+        at = place[which]
         count = self.count[at]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
