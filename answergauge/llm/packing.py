@@ -138,7 +138,7 @@ def _packer(path: str, end_id: int, capacity: int, with_ids: bool):
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for row, to, block in blocks(batch.column(1)):
+            for row, to, block in blocks(batch.column(1), tokens.BLOCK):
                 flat, bounds = encode(block)
                 for n, doc_id in enumerate(batch.column(0).slice(row, to - row).to_pylist()):
                     ids = flat[bounds[n] : bounds[n + 1]].astype("<u4").tobytes() + end

@@ -125,14 +125,15 @@ class TextBlock:
         return np.bincount(text, weights, self.n)
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, TextBlock]]:
-    """(first row, last bound, block) over a column of strings; null counts as empty."""
+def blocks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, TextBlock]]:
+    """(first row, last bound, block) over a column of strings, size bytes (BYTES) to a block; null counts as empty."""
+    size = size or BYTES
     column = column.cast(pa.large_string())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     held = column.buffers()[2] if len(column) else None
     data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        to = max(row + 1, int(np.searchsorted(at, at[row] + BYTES, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         yield row, to, TextBlock(data[at[row] : at[to]], at[row : to + 1] - at[row])
         row = to

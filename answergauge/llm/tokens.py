@@ -19,6 +19,8 @@ from .text_block import TextBlock
 
 #: Pieces, and ids of pieces, that a worker keeps; beyond, it forgets those that it has seen least.
 KEPT, KEPT_IDS = 500_000, 8_000_000
+#: Bytes of text in a block: more of them have fewer distinct pieces for their size.
+BLOCK = 2 << 20
 #: The settings of the pre-tokenizer that pieces are right for.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Kinds of bytes. A letter of two bytes from U+00C0 to U+00FF counts as letters; other bytes beyond ASCII are unknown.
