@@ -1,8 +1,7 @@
 """Quality rules: word and line counts, and a likelihood ratio between a trusted corpus and the raw one.
 
 Words and pairs of words of each document are hashed to 2**BITS buckets. The raw corpus is all documents; the trusted one
-is the documents with a good label (a sample by hash of at most TRUSTED of them, so that they can be marked where the
-documents are read). Each corpus is a multinomial over the buckets; counts of the trusted one are scaled to the size of the raw one before
+is all documents with a good label, whose texts are joined by shuffle. Each corpus is a multinomial over the buckets; counts of the trusted one are scaled to the size of the raw one before
 SMOOTH is added to both, so the ratio doesn't lean to either at any size. A document's score is
 the mean over its words and pairs of the log ratio of the two; it is kept if the score is at least THRESHOLD, a fixed
 number, so each document's verdict follows from the counts alone.
@@ -19,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .text_block import TextBlock, blocks, mixed
 
-BITS, TRUSTED, SMOOTH, THRESHOLD = 18, 50_000, 1.0, -0.2
+BITS, SMOOTH, THRESHOLD = 18, 1.0, -0.2
 #: Fixed values of the base rules: symbols, fewest words, most percent of words in repeated windows, their width.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED, WIDTH = "[#*$%&|<>]", 50, 50, 3
 
@@ -34,27 +34,29 @@ def _grams(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, good = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        marked = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-        for row, to, block in blocks(batch.column(0)):
-            text, bucket = _grams(block)
-            raw += np.bincount(bucket, minlength=1 << BITS)
-            good += np.bincount(bucket[marked[row:to][text]], minlength=1 << BITS)
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
+        for _, _, block in blocks(batch.column(0)):
+            total += np.bincount(_grams(block)[1], minlength=1 << BITS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _counts(rows: DataFrame) -> np.ndarray:
+    """Words and pairs of the texts of rows in each bucket."""
+    found = rows.select("text").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BITS)
+    out[found["bucket"]] = found["n"]
+    return out
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """For each bucket, log of its share in the trusted documents over its share in all. trusted: ids, a column."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRUSTED)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
-    counted = marked.select("text", "good").mapInArrow(_counted, "bucket long, raw long, good long")
-    found = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["good"]
+    named = rows.where("id is not null")
+    times = store.cut(named.groupBy("id").agg(F.count("*").alias("n")).join(ids.hint("merge"), "id"))
+    raw, good = _counts(rows), _counts(store.lookup(named, times, "id", "n", rows.count()))
     if not good.sum():  # nothing is trusted: the two are one corpus
         good = raw
     scale = raw.sum() / good.sum() if good.sum() else 1.0

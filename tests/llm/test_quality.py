@@ -69,6 +69,17 @@ def test_verdict_follows_the_likelihood_ratio(spark):
     assert np.median(off) < 0.02 and max(off) < 0.2  # some pairs of words share a bucket
 
 
+def test_all_trusted_documents_count(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "concat('u', id % 1000) as text")
+    trusted = docs.select("doc_id")
+    assert not quality_rules.log_ratios(docs, trusted).any()  # the two corpora are one
+    # rows of a frequent id count each, rows without an id only as raw
+    docs = spark.createDataFrame([(1, "a")] * 30 + [(2, "b")] * 10 + [(None, "c")] * 20, "doc_id long, text string")
+    found = quality_rules.log_ratios(docs, trusted.where("doc_id = 1").unionByName(spark.createDataFrame([(None,)], "doc_id long")))
+    want = sorted([np.log(61) - np.log(31), -np.log(11), -np.log(21)])
+    assert np.allclose(sorted(found[found != 0]), want)
+
+
 def test_without_trusted_documents_the_base_rules_decide(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(60))), "x"), (2, "a", "y")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long")
