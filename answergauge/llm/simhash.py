@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import store
 from .components import components
@@ -75,6 +76,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _with_fingerprint(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at)], names=["doc_id", "text"])
+            for out in _fingerprint_batches(iter([pair])):
+                yield pa.RecordBatch.from_arrays([*batch.columns, out.column(1)], names=[*batch.schema.names, "__fp"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp long for each row: bits set in over half of the XXH64 of its shingles of three words.
 
@@ -276,7 +287,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component, with all its columns as they were."""
-    stays = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """Of each component of fingerprints one row, with all its columns as they were: the one with the smallest id.
+
+    Components are of fingerprints alone, so texts that share an id, or have none, are told apart. A row with a null id
+    stays only where no row of its component has an id; of rows with one id the smallest fingerprint stays, of equal rows any.
+    """
+    rows = store.cut(fingerprints(docs, id_col, text_col))
+    distinct = store.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    known = components(links(distinct.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
+    table = distinct.join(known, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = table.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "fp", "n")).alias("row"))
+    stays = store.cut(least.select(F.col("row.id").alias("__id"), F.col("row.fp").alias("__fp"), F.col("row.n").alias("__n")))
+    total, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if total == ids:  # an id says which row
+        return docs.join(stays, docs[id_col] == stays["__id"], "left_semi")
+    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    kept = store.lookup(marked, stays, "__fp", "__n", total).where(F.col(id_col).eqNullSafe(F.col("__id")))
+    return kept.dropDuplicates(["__fp"]).select(*docs.columns)

@@ -127,5 +127,19 @@ def test_documents_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(5))
+    texts = lambda words: (" ".join(words), " ".join(words).upper())
+    rows = [(None, texts(a)[0]), (None, texts(a)[1]), (None, texts(b)[0]), (3, texts(c)[0]), (5, texts(c)[1]), (5, texts(d)[0]), (9, texts(d)[1]), (9, texts(d)[1]), (None, texts(d)[0]), (7, texts(e)[0]), (7, texts(e)[0])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(None, texts(a)[0]), (None, texts(b)[0]), (3, texts(c)[0]), (5, texts(d)[0]), (7, texts(e)[0])], key=str)
+    one = spark.createDataFrame([(None, None, "x")] * 3, SCHEMA)
+    assert [tuple(r) for r in simhash.drop_near_duplicates(one).collect()] == [(None, None, "x")]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
