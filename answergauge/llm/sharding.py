@@ -1,17 +1,20 @@
 """Sharding by minimax contiguous partition.
 
 Rows with equal text are one atomic group (by the XXH64 of the text; texts that collide share a group, which keeps
-every promise made here). Groups are ordered by that hash. The smallest capacity at which a greedy walk over the
-ordered groups fills at most n shards is found by binary search, and the cuts keep to that capacity. Of all such cuts (the
-walk's own leave the last shard with what is over) those nearest to equal shares are taken.
-
-A group that alone is at least the fair share of what is left to deal out gets a shard of its own first (there are
-fewer than n of these, whatever the data), so that one hot text doesn't set the capacity for all other shards.
-
-The walk needs the running size at the cuts alone. The driver holds running sizes over a radix of the hash, at most
-LEAVES entries, and each pass over the group table divides only the radix cells in which a cut can still lie. A cell
-with one group can't be divided further; when all cells in question have one group the search is exact. So the
-driver's state and the number of passes don't depend on the number of rows.
+every promise made here). The groups are one ordered sequence: first those that alone are at least the fair share of what
+is left to deal out, the largest first (fewer than n, whatever the data), then all others by their hash. Shards are
+contiguous runs of that sequence, cut so that the largest sizes are as small as can be, one after the other: a group of a
+fair share or more sets the size of its shard whatever is cut, so it is a shard alone; for the rest, the smallest
+capacity at which a greedy walk over the ordered groups fills at most the shards left is found by binary search, and the cuts
+keep to that capacity. Of all such cuts (the walk's own leave the last shard with what is over) those nearest to equal
+shares are taken.
+
+The walk needs the running size at the cuts alone. The driver holds running sizes over a radix of the hash. First the
+cells with more than 1 / HEAVY of a shard are divided until what they hold is spread or is one group, so that the bounds on
+the capacity are close however large a group is; then each pass over the group table divides only the cells in which a
+cut can still lie, found by a join with the table of these cells (LEAVES rows at most). A cell with one group can't be
+divided further; when all cells in question have one group the search is exact. So the driver's state and the number of
+passes don't depend on the number of rows.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Radix bits of the first pass, the most cells a later pass makes, and gaps between cells that are read along.
-FIRST_BITS, LEAVES, GAP = 14, 1 << 17, 16
+#: Radix bits of the first pass, the most cells a later pass makes, and the part of a shard that makes a cell heavy.
+FIRST_BITS, LEAVES, HEAVY = 14, 1 << 17, 64
 #: Rows of a shard are numbered in so many cells that can be sorted apart.
 SLOT_CELLS = 1024
 
@@ -64,10 +67,13 @@ def _least(ends: list[int], atom: list[int], n: int, low: int, high: int, loose:
 
 def minimax_cuts(groups: DataFrame, n: int) -> tuple[list[int], int]:
     """The last hash of each shard and the capacity. groups: hash long (distinct), size long (at least 1)."""
-    cells = [(None, FIRST_BITS)]  # cells to divide: (first hash >> (64 - bits), bits) or all
-    parts: dict[tuple[int, int], tuple[int, int, int]] = {}  # (bits, prefix): size, groups, last hash
+    # A cell: (bits, first hash >> (64 - bits)); what it holds: size, groups, last hash.
     first = groups.groupBy(F.shiftright("hash", 64 - FIRST_BITS).alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.max("hash").alias("h"))
-    parts = {(FIRST_BITS, r.p): (r.s, r.c, r.h) for r in first.collect()}
+    parts: dict[tuple[int, int], tuple[int, int, int]] = {(FIRST_BITS, r.p): (r.s, r.c, r.h) for r in first.collect()}
+    total = sum(s for s, _, _ in parts.values())
+    # Fewer than n * HEAVY cells can be heavy.
+    while heavy := {k for k, (s, c, _) in parts.items() if c > 1 and s * n * HEAVY > total}:
+        parts = _divide(groups, parts, heavy)
     while True:
         order = sorted(parts, key=lambda k: parts[k][2])
         ends, atom, at = [], [], 0
@@ -149,32 +155,17 @@ def _behind(ends: list[int], capacity: int, n: int) -> list[int]:
 
 
 def _divide(groups: DataFrame, parts: dict, cells: set[tuple[int, int]]) -> dict:
-    """parts with the given cells divided, in one pass over the groups."""
+    """parts with the given cells divided, in one pass over the groups whatever the cells' widths."""
     more = max(1, min(12, (LEAVES // len(cells)).bit_length() - 1))
-    left = dict(parts)
-    jobs: dict[int, list[int]] = {}
-    for bits, p in cells:
-        jobs.setdefault(bits, []).append(p)
-        left.pop((bits, p))
-    for bits, ps in sorted(jobs.items()):
-        to = min(64, bits + more)
-        # Cells near each other are one range of hashes; the filter stays a short list of ranges.
-        ps.sort()
-        asked = set(ps)
-        spans: list[list[int]] = []
-        for p in ps:
-            if spans and p - spans[-1][1] <= GAP:
-                spans[-1][1] = p
-            else:
-                spans.append([p, p])
-        prefix = F.shiftright("hash", 64 - bits)
-        within = F.lit(False)
-        for a, b in spans:
-            within = within | prefix.between(a, b)
-        for r in groups.where(within).groupBy(F.shiftright("hash", 64 - to).alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.max("hash").alias("h")).collect():
-            if r.p >> (to - bits) in asked:
-                left[(to, r.p)] = (r.s, r.c, r.h)
-    return left
+    left = {k: v for k, v in parts.items() if k not in cells}
+    table = groups.sparkSession.createDataFrame(sorted(cells), "bits int, cell long")  # LEAVES rows at most
+    widths = sorted({bits for bits, _ in cells})
+    # Cells don't overlap, so a group is in one of them at most, of whichever width.
+    places = F.explode(F.array(*[F.struct(F.lit(w).alias("bits"), F.shiftright("hash", 64 - w).alias("cell")) for w in widths]))
+    placed = groups.select("hash", "size", places.alias("at")).select("hash", "size", "at.bits", "at.cell")
+    within = placed.join(F.broadcast(table), ["bits", "cell"]).withColumn("to", F.least(F.lit(64), F.col("bits") + more))
+    found = within.groupBy("to", F.expr("shiftright(hash, 64 - to)").alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.max("hash").alias("h"))
+    return left | {(r.to, r.p): (r.s, r.c, r.h) for r in found.collect()}
 
 
 def plan_shards(groups: DataFrame, n: int) -> tuple[list[int], list[int], int]:

@@ -46,6 +46,33 @@ def test_cuts_are_minimax(spark, n, monkeypatch):
         assert max(fill.values()) - min(fill.values()) <= 2 * 300
 
 
+@pytest.mark.parametrize("hot", [35_000, 39_000, 200])
+def test_a_hot_group_below_the_fair_share(spark, hot):
+    """Many groups and one that is nearly a shard: the bounds on the capacity stay close, and no plan grows with the cells."""
+    rng = random.Random(hot)
+    rows = sorted({rng.randrange(-(2**63), 2**63): 10 for _ in range(60_000)}.items())
+    rows[len(rows) // 3] = (rows[len(rows) // 3][0], hot)
+    groups = spark.createDataFrame(rows, "hash long, size long")
+    cuts, capacity = sharding.minimax_cuts(groups.repartition(4), 16)
+    assert capacity == least_capacity([s for _, s in rows], 16)
+    assert len(cuts) == 16 and cuts[-1] == rows[-1][0]
+    fill = defaultdict(int)
+    for h, s in rows:
+        fill[sum(h > c for c in cuts)] += s
+    assert max(fill.values()) <= capacity
+
+
+def test_shards_are_contiguous_with_large_groups_first(spark):
+    rng = random.Random(3)
+    rows = sorted({rng.randrange(-(2**63), 2**63): rng.randint(1, 20) for _ in range(500)}.items())
+    for k, size in ((100, 9000), (300, 4000)):
+        rows[k] = (rows[k][0], size)
+    own, cuts, capacity = sharding.plan_shards(spark.createDataFrame(rows, "hash long, size long"), 8)
+    assert own == [rows[100][0], rows[300][0]]
+    rest = [(h, s) for h, s in rows if h not in own]
+    assert capacity == least_capacity([s for _, s in rest], 6) and cuts == sorted(cuts) and len(cuts) == 6
+
+
 def test_rows_of_a_shard(spark):
     texts = ["", None, "é", "a" * 5000, "b", "b", "b"] + [f"t{i}" * (i % 7) for i in range(200)]
     docs = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(texts)], SCHEMA)
