@@ -30,8 +30,10 @@ GAP = 0.1
 def features(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value) of each feature that isn't 0, by text."""
     size = np.uint64((1 << BITS) - 1)
-    tails = mixed(block.spans(np.maximum(block.first, block.last - TAIL), block.last) + np.uint64(TAIL))
+    tails = mixed(block.keys(np.maximum(block.first, block.last - TAIL), block.last) + np.uint64(TAIL))
     again = np.flatnonzero((block.hash[1:] == block.hash[:-1]) & (block.text[1:] == block.text[:-1])) + 1
+    size_of = block.last - block.first
+    again = again[(size_of[again] == size_of[again - 1]) & block.equal(block.first[again], block.first[again - 1], size_of[again])]
     text = np.concatenate((block.text, block.text, block.text[again]))
     bucket = np.concatenate((block.hash & size, tails & size, np.zeros(len(again), np.uint64))).astype(np.int64)
     key, count = np.unique((text << BITS) | bucket, return_counts=True)

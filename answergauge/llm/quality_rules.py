@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .text_block import TextBlock, blocks, mixed
+from .text_block import TextBlock, blocks
 
 BITS, SMOOTH, THRESHOLD = 18, 1.0, -0.2
 #: Fixed values of the base rules: symbols, fewest words, most percent of words in repeated windows, their width.
@@ -76,16 +76,18 @@ def _lines(block: TextBlock) -> np.ndarray:
     inner = np.concatenate(([0], np.cumsum(~block.white)))
     real = inner[last] > inner[first]
     first, last, text = first[real], last[real], text[real]
-    key = block.spans(first, last) ^ mixed(text.astype(np.uint64))
-    _, at = np.unique(key, return_index=True)
+    _, line = block.same(first, last)
+    _, at = np.unique(line * block.n + text, return_index=True)
     return block.per_text(text) - block.per_text(text[at])
 
 
 def _repeated(block: TextBlock) -> np.ndarray:
     """For each text, words in windows that it has twice or more."""
-    at, h = block.windows(WIDTH)
-    _, inverse, times = np.unique(h ^ mixed(block.text[at].astype(np.uint64)), return_inverse=True, return_counts=True)
-    at = at[times[inverse] > 1]
+    at = block.followed(WIDTH)
+    kind, times = block.text[at], np.zeros(0, np.int64)
+    for k in range(WIDTH):  # numbers for a text and the words of a window, one word after the other
+        _, kind, times = np.unique(kind * len(block.first) + block.word_ids[at + k], return_inverse=True, return_counts=True)
+    at = at[times[kind] > 1]
     step = np.zeros(len(block.first) + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, at + WIDTH, -1)

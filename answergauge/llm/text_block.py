@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
 BYTES = 1 << 20
-#: An odd multiplier for the polynomial hash of words, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BACK = pow(BASE, -1, 1 << 64)
+#: An odd multiplier for hashes.
+ODD = 0x9E3779B97F4A7C15
+#: Eight bytes as a number, cut to the first so many of them.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 64
 
 
 def _white() -> np.ndarray:
@@ -22,17 +26,6 @@ def _white() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of BACK."""
-    out = []
-    for factor in (BASE, BACK):
-        row = np.full(n, factor, np.uint64)
-        row[0] = 1
-        out.append(np.cumprod(row, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The bits of each number, mixed well."""
     with np.errstate(over="ignore"):
@@ -42,7 +35,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class TextBlock:
-    """Texts side by side: data (their bytes), text_at (bounds), and words with first and last bounds, text and hash."""
+    """Texts side by side: data (their bytes), text_at (bounds), and words with first and last bounds, text and hash.
+
+    A byte of text takes about 20 bytes of arrays, so a text has to fit a task's memory that many times.
+    """
 
     def __init__(self, data: np.ndarray, text_at: np.ndarray):
         self.data, self.text_at, self.n = data, text_at, len(text_at) - 1
@@ -84,23 +80,77 @@ class TextBlock:
 
     @cached_property
     def hash(self) -> np.ndarray:
-        return self.spans(self.first, self.last)
+        """A 64-bit hash of each word; words of up to seven bytes all differ."""
+        return mixed(self.keys(self.first, self.last))
 
     @cached_property
-    def _polynomial(self) -> tuple[np.ndarray, np.ndarray]:
-        powers, backs = _powers(max(BYTES, 1 << (max(1, len(self.data)) - 1).bit_length()))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
-        return sums, backs
-
-    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes from first to last, for each."""
-        sums, backs = self._polynomial
-        if not len(first):
-            return np.zeros(0, np.uint64)
+    def word_ids(self) -> np.ndarray:
+        """A number for each word; two are equal exactly if the words are."""
+        return self.same(self.first, self.last)[1]
+
+    @cached_property
+    def _eight(self) -> np.ndarray:
+        """For each byte, it and the seven behind it as a number (zeros behind the end)."""
+        padded = np.zeros(len(self.data) + 16, np.uint8)
+        padded[: len(self.data)] = self.data
+        return np.ndarray(len(self.data) + 9, "<u8", padded, strides=(1,)).astype(np.uint64)
+
+    def eight(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The bytes from each place on as a number, n of them (beyond eight: eight; below none: none)."""
+        return self._eight[at] & FIRST_BYTES[np.clip(n, 0, 8)]
+
+    def keys(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A number for the bytes from first to last, for each; where it is below 2**63 it says them all, else it is a hash."""
+        n = last - first
+        out = self.eight(first, n)
         with np.errstate(over="ignore"):
-            return mixed((sums[last] - sums[first]) * backs[np.minimum(first, len(backs) - 1)] + (last - first).astype(np.uint64))
+            few = n <= 7
+            out[few] |= n[few].astype(np.uint64) << np.uint64(56)
+            more = np.flatnonzero(~few)
+            h = mixed(out[more] + n[more].astype(np.uint64) * np.uint64(ODD))
+            open_, step = np.flatnonzero(n[more] > 8), 8
+            while len(open_) and step < LONG:
+                at = more[open_]
+                h[open_] = mixed(h[open_] * np.uint64(ODD) + self.eight(first[at] + step, n[at] - step))
+                step += 8
+                open_ = open_[n[at] > step]
+            for k in open_.tolist():
+                h[k] = xxhash.xxh64_intdigest(self.data[first[more[k]] : last[more[k]]])
+        out[more] = h | np.uint64(1 << 63)
+        return out
+
+    def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the n bytes from a and from b on are equal, for each."""
+        out = np.ones(len(a), bool)
+        open_, step = np.flatnonzero(n > 0), 0
+        while len(open_) and step < LONG:
+            same = self.eight(a[open_] + step, n[open_] - step) == self.eight(b[open_] + step, n[open_] - step)
+            out[open_[~same]] = False
+            step += 8
+            open_ = open_[same & (n[open_] > step)]
+        for k in open_.tolist():
+            out[k] = np.array_equal(self.data[a[k] : a[k] + n[k]], self.data[b[k] : b[k] + n[k]])
+        return out
+
+    def same(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(some, which): a span of each kind, and the kind of each span. Spans are of one kind exactly if their bytes are equal."""
+        keys = self.keys(first, last)
+        _, some, which = np.unique(keys, return_index=True, return_inverse=True)
+        check = np.flatnonzero(keys >> np.uint64(63))
+        check = check[some[which[check]] != check]
+        held = some[which[check]]
+        n = last - first
+        right = (n[check] == n[held]) & self.equal(first[check], first[held], np.minimum(n[check], n[held]))
+        if not right.all():  # different bytes with one hash
+            kinds: dict[bytes, int] = {}
+            extra = []
+            for k in check[~right].tolist():
+                kind = kinds.setdefault(self.data[first[k] : last[k]].tobytes(), len(some) + len(kinds))
+                if kind == len(some) + len(extra):
+                    extra.append(k)
+                which[k] = kind
+            some = np.concatenate((some, np.array(extra, some.dtype)))
+        return some, which
 
     def count(self, marked: np.ndarray) -> np.ndarray:
         """For each text, how many of its bytes are marked."""
@@ -118,7 +168,7 @@ class TextBlock:
         out = self.hash[at]
         with np.errstate(over="ignore"):
             for k in range(1, width):
-                out = mixed(out * np.uint64(BASE) + self.hash[at + k])
+                out = mixed(out * np.uint64(ODD) + self.hash[at + k])
         return at, out
 
     def per_text(self, text: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
