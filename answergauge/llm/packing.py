@@ -1,14 +1,15 @@
 """Packing documents into sequences of one capacity by Karmarkar-Karp multiway differencing.
 
-Runs of capacity ids of a long document are sequences of their own. What is left of each document is a piece; pieces
-of a bounded number of neighbouring documents (CHUNK) are packed together, where the documents are: nothing is shuffled,
-and a lost task makes the same sequences again.
+Runs of capacity ids of a long document are sequences of their own. What is left of each document is cut into blocks of
+BLOCK ids and one of what remains, before anything is packed: many sizes make sums near equal. The blocks of a bounded number
+of neighbouring documents (CHUNK) are packed together, where the documents are: nothing is shuffled, and a lost task makes
+the same sequences again.
 
 Differencing keeps partial partitions into k windows. It merges the two whose largest and smallest window differ most,
 the largest windows of one with the smallest of the other, until one is left, with near-equal windows. k begins at the
-least that could do and rises while a window is over the capacity, as long as the padding stays within SLACK. If
-windows are still over, documents being free to be cut, the full ones are cut at the capacity; what is cut off and
-the pieces of the other windows are differenced anew. So a chunk ends with less than one sequence of padding, or SLACK.
+least that could do and rises whenever a window is over the capacity, until all fit; nothing is cut after that. Where sizes
+are such that this pads more than PADDING and one sequence (all documents being equally long, say), blocks are made half as
+large and differenced anew, down to LEAST ids. Blocks of one document that follow each other in a window are one piece.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .text_block import blocks
 
-CAPACITY, CHUNK, SLACK = 2048, 2048, 0.005
+CAPACITY, CHUNK, BLOCK, LEAST, PADDING = 2048, 2048, 512, 16, 0.01
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -59,43 +60,45 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start in the item, length); each at most capacity, sizes being at least 1."""
-    pool = [(i, 0, s) for i, s in enumerate(sizes)]
-    done: list[list[tuple[int, int, int]]] = []
-    while pool:
-        lengths = [p[2] for p in pool]
-        total = sum(lengths)
-        least = -(-total // capacity)
-        k, rise = least, 1
+def blocks_of(sizes: list[int], block: int) -> list[tuple[int, int, int]]:
+    """(item, start in the item, length) of the items cut into blocks."""
+    return [(i, at, min(block, s - at)) for i, s in enumerate(sizes) for at in range(0, s, block)]
+
+
+def fitting(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The windows of differencing at the count that the rise from the least one ends at; none is over the capacity."""
+    total = sum(lengths)
+    k = -(-total // capacity)
+    while True:
         windows = difference(lengths, k)
-        sums = [sum(lengths[i] for i in w) for w in windows]
-        # A rise of the count by SLACK lowers sums by about as much, so it can't help where they are further over.
-        while capacity < max(sums) <= capacity * (1 + 2 * slack) and k + rise <= least * (1 + slack):
-            k += rise
-            rise *= 2
-            windows = difference(lengths, k)
-            sums = [sum(lengths[i] for i in w) for w in windows]
-        if max(sums) <= capacity:
-            done += [[pool[i] for i in sorted(w)] for w in windows if w]
+        most = max((sum(lengths[i] for i in w) for w in windows), default=0)
+        if most <= capacity:
+            return windows
+        # If windows kept their distance from the mean, this count would do; go half the way, lest it be more than it takes.
+        room = capacity - (most - total / k)
+        k += max(1, (-int(-total // room) - k) // 2) if room > 0 else k
+
+
+def pack(sizes: list[int], capacity: int = CAPACITY, block: int = BLOCK) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start in the item, length); each at most capacity, sizes being at least 1."""
+    total = sum(sizes)
+    while True:
+        cut = blocks_of(sizes, min(block, capacity))
+        windows = fitting([c[2] for c in cut], capacity)
+        if block <= LEAST or len(windows) * capacity - total <= PADDING * total + capacity:
             break
-        left: list[tuple[int, int, int]] = []
-        for w, s in zip(windows, sums, strict=True):
-            if s < capacity:
-                left += [pool[i] for i in w]
-                continue
-            room, kept = capacity, []
-            for i in sorted(w, key=lambda i: -lengths[i]):  # the smallest piece is cut, or goes whole
-                item, start, length = pool[i]
-                take = min(room, length)
-                if take:
-                    kept.append((item, start, take))
-                if take < length:
-                    left.append((item, start + take, length - take))
-                room -= take
-            done.append(sorted(kept))
-        pool = left
-    return done
+        block //= 2
+    out = []
+    for w in windows:
+        pieces: list[tuple[int, int, int]] = []
+        for item, start, length in sorted(cut[i] for i in w):
+            if pieces and pieces[-1][0] == item and pieces[-1][1] + pieces[-1][2] == start:
+                pieces[-1] = (item, pieces[-1][1], pieces[-1][2] + length)
+            else:
+                pieces.append((item, start, length))
+        if pieces:
+            out.append(pieces)
+    return out
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -13,6 +13,11 @@ TEXTS = [
 ]
 
 
+_MORSE = ["".join(two[bin(i).count("1") & 1] for i in range(1024)) for two in ("ab", "ba")]
+#: Words and lines that a polynomial hash modulo a power of two takes for equal.
+TEXTS += ["\n".join(_MORSE), " ".join([*_MORSE, "x", _MORSE[1], _MORSE[0], "x"]), " ".join(_MORSE * 3), f"{_MORSE[0]} a\n{_MORSE[1]} a\n{_MORSE[0]} a"]
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -44,6 +49,15 @@ def test_base_rules_equal_brute_force(spark, size, monkeypatch):
     assert [tuple(r.values())[1:6] for r in out.to_pylist()] == [brute(t)[:5] for t in texts]
 
 
+def test_base_rules_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(text_block, "mixed", lambda x: np.zeros_like(x))
+    rng = random.Random(5)
+    texts = TEXTS + [" ".join(rng.choices(["longword" + c for c in "abc"] + ["\n", "x"], k=60)) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    (out,) = quality_rules._scored(np.zeros(1 << quality_rules.BITS, np.float32))(iter([batch]))
+    assert [tuple(r.values())[1:6] for r in out.to_pylist()] == [brute(t)[:5] for t in texts]
+
+
 def test_verdict_follows_the_likelihood_ratio(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]

@@ -18,7 +18,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,6 +33,37 @@ def encoded(encoder, texts):
     return out
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: any polynomial hash modulo a power of two takes the two for one."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_pieces_are_told_apart_by_their_bytes(plain, monkeypatch):
+    s, t = thue_morse(1024)
+    texts = [f"{s}\n{t}", s, t, f"{s}1{t}", f"x {t} {s}"]
+    assert encoded(tokens.PieceEncoder(queries.tokenizer_path()), texts) == [plain(x) for x in texts]
+    # and if all hashes of longer pieces were one
+    monkeypatch.setattr(text_block, "mixed", lambda x: np.zeros_like(x))
+    monkeypatch.setattr(tokens, "mixed", lambda x: np.zeros_like(x))
+    rng = random.Random(8)
+    texts += ["".join(rng.choices("abc1 ", weights=[9, 9, 9, 1, 1], k=400)) for _ in range(20)] + ["sameverylongword " * 3]
+    assert encoded(tokens.PieceEncoder(queries.tokenizer_path()), texts) == [plain(x) for x in texts]
+
+
+def test_strings_of_the_tokenizers_own_tokens(plain):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "a", "\n", "é", "'s"], k=rng.randint(1, 12))) for _ in range(500)]
+    texts += ["<|endof", "text|>", "<|endoftext|><|endoftext|>"]
+    assert plain("<|endoftext|> x") == [50256, 2124]
+    assert encoded(tokens.PieceEncoder(queries.tokenizer_path()), texts) == [plain(x) for x in texts]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    t.encode_special_tokens = True
+    assert encoded(tokens.PieceEncoder(queries.tokenizer_path(), plain=True), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("kept", [3, 400_000])
 @pytest.mark.parametrize("size", [1, 60, 2 << 20])
 def test_pieces_give_the_ids_of_the_text(plain, kept, size, monkeypatch):
@@ -56,10 +86,31 @@ def test_difference_is_near_equal():
     assert sorted(sum((4, 5, 6, 7, 8)[i] for i in w) for w in packing.difference([4, 5, 6, 7, 8], 2)) == [14, 16]
 
 
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp as it is told: tuples of k sums, the two with the largest difference added in opposite order."""
+    held = [(-s, i, [s] + [0] * (k - 1)) for i, s in enumerate(sizes)]
+    serial = len(sizes)
+    while len(held) > 1:
+        held.sort()
+        (_, _, a), (_, _, b), *held = held
+        sums = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+        serial += 1
+        held.append((sums[-1] - sums[0], serial, sums))
+    return held[0][2]
+
+
+def test_differencing_equals_the_plain_one():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 1), (4, 2), (9, 4), (40, 3), (60, 17), (150, 40), (30, 45)):
+        sizes = rng.choice(100_000, n, replace=False).tolist()
+        windows = packing.difference(sizes, k)
+        assert sorted(sum(sizes[i] for i in w) for w in windows) == sorted(plain_differencing(sizes, k))
+
+
 def test_pack_covers_every_item_once():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 2, 50, 700):
-        sizes = rng.integers(1, 2048, n).tolist()
+    cases = [rng.integers(1, 2048, n).tolist() for n in (0, 1, 2, 50, 700, 2048)] + [[410] * 900, [1025] * 700, [1] * 5000, [2047] * 300, [683] * 500 + [7] * 20]
+    for sizes in cases:
         windows = packing.pack(sizes)
         assert all(0 < sum(p[2] for p in w) <= 2048 for w in windows)
         covered = sorted(p for w in windows for p in w)
@@ -69,7 +120,16 @@ def test_pack_covers_every_item_once():
                 assert start == at
                 at += length
             assert at == s
-        assert len(windows) <= max(1, -(-sum(sizes) // 2048)) * (1 + packing.SLACK) + 1
+        least = -(-sum(sizes) // 2048)
+        assert least <= len(windows) <= least * 1.01 + 1
+
+
+def test_the_window_count_rises_until_all_fit():
+    sizes = [410] * 50  # four to a window, though five would be the least count's
+    windows = packing.fitting(sizes, 2048)
+    assert max(sum(sizes[i] for i in w) for w in windows) <= 2048 and 13 <= len(windows) <= 14
+    assert sorted(i for w in windows for i in w) == list(range(50))
+    assert packing.fitting([], 2048) == []
 
 
 def test_packed_documents(spark, plain):
