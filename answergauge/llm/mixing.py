@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target in words. A document is expected e times: target / size of its source, or in
-proportion to a weight of its own. floor(e) copies are certain, and one more is drawn with inclusion probability
-p = e - floor(e), so probabilities differ from source to source and, with weights, from document to document. Draws are ranked by
+Each source gets a target in words. A document is expected e times: e is in proportion to a weight of its own within its
+source, at most MOST, and such that the expected words of a source are its target (LEVELS says how weights are
+counted; by default long documents weigh more than short ones). floor(e) copies are certain, and one more is drawn with
+inclusion probability p = e - floor(e), so probabilities differ from document to document. Draws are ranked by
 (odds of a uniform number of the document) / (odds of p), the Pareto rank, and the ranks are taken from the lowest up
 to the size that is left of the target. The uniform number is a digest of the document's id, so reruns agree.
 
@@ -22,6 +23,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: The weights of sources in order of their names, repeating; the share of all words to take; the most copies.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 CELLS = 4096
+#: Weights of documents count in LEVELS steps to 1, up to TOP; so a source has LEVELS * TOP different ones at most.
+LEVELS, TOP = 16, 16
+#: The weight of a document by its words: in proportion to them from half of WORDS to twice as many.
+WORDS = 200
 
 
 def words_of(text: Column) -> Column:
@@ -73,36 +78,61 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return run.select("source", "source_size", target.alias("target"))
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight_col: str | None) -> DataFrame:
-    weight = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
+def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None) -> DataFrame:
+    size, text = words_of(store.col(text_col)), store.col(text_col)
+    own = weight if weight is not None else F.least(F.lit(2.0), F.greatest(F.lit(0.5), size / F.lit(float(WORDS))))
+    level = F.round(F.least(F.lit(float(TOP)), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(own.cast("double"), F.lit(0.0)), F.lit(0.0)))) * LEVELS)
+    source = store.col(source_col).cast("string")
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"), draw_of(F.col(id_col), seed).alias("u"), weight.alias("w")
+        store.col(id_col).alias("doc_id"), source.alias("source"), size.alias("size"), draw_of(store.col(id_col), seed).alias("u"), level.cast("long").alias("w"), F.xxhash64(text).alias("text_hash")
     )
 
 
+def rates(sums: DataFrame, most: int = MOST) -> DataFrame:
+    """key, rate from key, w, level_size, target (a row for each level of weight): min(most, rate * w) times sizes makes target.
+
+    Levels in falling order reach most first; the rate is that of the first level that stays below it. Null: all are at most.
+    """
+    down = Window.partitionBy("key").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("key").orderBy(F.desc("w")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    run = sums.withColumns({"full": F.coalesce(F.sum("level_size").over(down), F.lit(0)), "weighted": F.sum(F.col("w") * F.col("level_size")).over(rest)})
+    rate = F.when(F.col("weighted") > 0, (F.col("target") - F.lit(most) * F.col("full")) / F.col("weighted"))
+    run = run.withColumn("rate", rate).withColumn("fits", F.col("rate") * F.col("w") <= F.lit(float(most)))
+    return run.groupBy("key").agg(F.min_by(F.when(F.col("fits"), F.col("rate")), F.when(F.col("fits"), -F.col("w"))).alias("rate"))
+
+
 def mix(
-    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
 ) -> DataFrame:
     """id_col, source, size, source_size, target, copies and taken (copies * size) for each row of docs.
 
-    weight_col: what a document's expected copies are in proportion to within its source (most at most); without it all
-    documents of a source are expected alike. A weight that is null or below 0 counts as 0: the document isn't taken.
+    weight: what a document's expected copies are in proportion to within its source (most at most), counted in steps of
+    1 / LEVELS up to TOP; by default its words. A weight that is null, NaN or below half a step counts as 0: the
+    document isn't taken. Where a source's other documents can't make up for such, it stays below its target.
 
     Rows of a null source form a source, last in order. A document without words has size 0 and costs nothing; it
     gets its certain copies. Whole documents are taken: the one that reaches the target is in if at least half of it
-    fits, so a source misses its target by half a document at most. Equal ranks go by id, then size. Repeated rows
-    count each. An empty table gives an empty result.
+    fits, so a source misses its target by half a document at most. Equal ranks go by id, then size, then text. Repeated
+    rows count each. An empty table gives an empty result.
     """
-    rows = store.cut(_counted(docs, id_col, text_col, source_col, seed, weight_col))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"), F.count("*").alias("rows"))
-    goal = sizes.select("source", "weighted", "rows").alias("a").join(targets(sizes.select("source", "source_size"), weights, share, most).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    drawn = _drawn(docs, weights, share, most, seed, id_col, text_col, source_col, weight)
+    return drawn.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _drawn(docs: DataFrame, weights, share: float, most: int, seed: str, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """What mix() gives, and the hash of the text."""
+    rows = store.cut(_counted(docs, id_col, text_col, source_col, seed, weight))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    known = goal.select(F.col("b.source").alias("source"), "source_size", "target", "rows", F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(F.lit(0.0)).alias("ratio"))
-    known = store.cut(known.withColumn("key", key).drop("source"))
+    levels = store.cut(rows.groupBy("source", "w").agg(F.sum("size").alias("level_size"), F.count("*").alias("rows")))
+    sizes = levels.groupBy("source").agg(F.sum("level_size").alias("source_size"), F.sum("rows").alias("rows")).withColumn("key", key)
+    goal = targets(sizes.select("source", "source_size"), weights, share, most).withColumn("key", key).select("key", "target")
+    known = store.cut(sizes.select("key", "source_size", "rows").join(goal, "key"))
+    rate = rates(levels.withColumn("key", key).join(known.select("key", "target"), "key"), most)
+    known = store.cut(known.join(rate, "key"))
     total = rows.count()
     # One row a source; a source can be hot, so the sources that hold most rows are broadcast and the others shuffled.
     each = store.lookup(rows.withColumn("key", key), known, "key", "rows", total).drop("rows")
-    expected = F.least(F.lit(float(most)), F.col("ratio") * F.col("w"))
+    expected = F.when(F.col("w") > 0, F.coalesce(F.least(F.lit(float(most)), F.col("rate") * F.col("w")), F.lit(float(most)))).otherwise(F.lit(0.0))
     each = each.withColumn("e", expected).withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     each = each.withColumn("q", F.when(F.col("p") > 0, odds))
@@ -118,27 +148,37 @@ def mix(
     )  # no last cell: all are taken
     each = store.lookup(each, store.cut(edge), "key", "rows", total)
     inside = each.where((F.col("p") > 0) & (F.col("cell") == F.col("last_cell")))
-    order = Window.partitionBy("key").orderBy("q", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("key").orderBy("q", F.col("doc_id"), "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(order)
     inside = inside.withColumn("drawn", (upto - F.col("size") / 2 <= F.col("need")).cast("long"))
     others = each.where((F.col("p") <= 0) | F.col("last_cell").isNull() | (F.col("cell") != F.col("last_cell")))
     others = others.withColumn("drawn", F.when(F.col("p") <= 0, 0).when(F.col("last_cell").isNull() | (F.col("cell") < F.col("last_cell")), 1).otherwise(0).cast("long"))
     copies = F.col("certain") + F.col("drawn")
-    return others.unionByName(inside).select(
-        F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return others.unionByName(inside).select("doc_id", "source", "size", "text_hash", "source_size", "target", copies.alias("copies"))
 
 
-def sample(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with all its columns as they were."""
-    plan = mix(docs, weights, share, most, seed, id_col, text_col, source_col)
-    how = plan.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    # Rows that agree in id, source and size are drawn as one set: which of them get the copies doesn't matter.
-    how = how.groupBy("__id", "__source", "__size").agg(F.sum("__copies").alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0")
-    marked = docs.withColumns({"__s": F.col(source_col).cast("string"), "__n": words_of(F.col(text_col))})
-    same = marked[id_col].eqNullSafe(how["__id"]) & marked["__s"].eqNullSafe(how["__source"]) & (marked["__n"] == how["__size"])
-    found = marked.join(how, same)
-    nth = F.when(F.col("__rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))))
-    share_ = F.floor((F.col("__sum") + F.col("__rows") - nth) / F.col("__rows")).cast("int")
-    out = found.withColumn("__take", share_).where("__take > 0").withColumn("__take", F.explode(F.sequence(F.lit(1), F.col("__take"))))
-    return out.select(*docs.columns)
+def sample(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
+) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with all its columns as they were, whatever their names.
+
+    Each row moves once; where rows agree in id, source and text, those that agree in all columns are counted first, and moved
+    once more.
+    """
+    plan = _drawn(docs, weights, share, most, seed, id_col, text_col, source_col, weight)
+    # Rows that agree in id, source and text are drawn as one set: which of them get the copies doesn't matter.
+    set_of = store.name_of(F.col("text_hash"), F.col("size"), F.col("doc_id"), F.col("source"))
+    how = store.cut(plan.groupBy(set_of.alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"))
+    text = store.col(text_col)
+    rows = store.marked(docs, store.name_of(F.xxhash64(text), words_of(text), store.col(id_col), store.col(source_col).cast("string")))
+    if how.agg(F.max("rows")).first()[0] in (None, 1):
+        found = rows.join(how.hint("merge"), "key").select("row", F.col("copies").cast("int").alias("take"))
+    else:
+        rows = rows.groupBy("key", "row").agg(F.count("*").alias("n"))
+        found = rows.join(how.hint("merge"), "key")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = F.floor(F.col("copies") / F.col("rows"))
+        more = F.col("copies") - base * F.col("rows")  # that many rows, the first ones, have one copy more
+        found = found.select("row", (F.col("n") * base + F.greatest(F.lit(0), F.least(F.col("n"), more - before))).cast("int").alias("take"))
+    out = found.where("take > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("take"))).alias("copy"))
+    return out.select("row.*")

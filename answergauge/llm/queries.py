@@ -94,12 +94,14 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
 """
 
 OP4_SQL = r"""
-with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+with recursive d0 as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
     (('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
+-- a document weighs in proportion to its words, from half of 200 to twice as many, in sixteenths
+d as (select *, round(least(2.0::double, greatest(0.5::double, size / 200.0::double)) * 16)::bigint as w from d0),
 s as (select source, sum(size)::bigint as source_size from d group by source),
-w as (select *, ([5, 2, 1])[((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int]::bigint as weight from s),
+n as (select *, ([5, 2, 1])[((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int]::bigint as weight from s),
 -- one round of stopping at the ceiling after another, as the words of the rule have it
-r as (select 0 as round, source, source_size, weight, false as capped, 1.5 * (sum(source_size) over ()) / (sum(weight) over ()) as level from w
+r as (select 0 as round, source, source_size, weight, false as capped, 1.5 * (sum(source_size) over ()) / (sum(weight) over ()) as level from n
     union all
     select round + 1, source, source_size, weight, now as capped, case when now_rest > 0 then (1.5 * now_all - 2 * now_full) / now_rest else level end
     from (select *, sum(case when now then 0 else weight end) over () as now_rest, sum(source_size) over () as now_all, sum(case when now then source_size else 0 end) over () as now_full,
@@ -107,11 +109,15 @@ r as (select 0 as round, source, source_size, weight, false as capped, 1.5 * (su
           from (select *, capped or 2 * source_size::double / weight < level as now from r))
     where newly > 0),
 t as (select source, source_size, least(2 * source_size::double, level * weight) as target from r where round = (select max(round) from r)),
-p as (select d.doc_id, d.size, t.source, t.source_size, t.target, d.u,
-    case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as certain,
-    case when t.source_size > 0 then t.target / t.source_size - floor(t.target / t.source_size) else 0 end as p
-    from d join t on d.source is not distinct from t.source),
-q as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q, target - certain * source_size as need from p),
+-- the rate that makes min(2, rate * w) times sizes the target: weights in falling order reach 2 first
+l0 as (select source, w, sum(size)::bigint as level_size from d group by source, w),
+l1 as (select l0.*, t.target, coalesce(sum(level_size) over (partition by l0.source order by w desc rows between unbounded preceding and 1 preceding), 0)::bigint as full_size,
+    (sum(w * level_size) over (partition by l0.source order by w desc rows between current row and unbounded following))::bigint as weighted from l0 join t on l0.source is not distinct from t.source),
+l as (select source, min_by(rate, -w) filter (where rate * w <= 2) as rate from (select *, case when weighted > 0 then (target - 2 * full_size) / weighted end as rate from l1) group by source),
+e as (select d.doc_id, d.size, t.source, t.source_size, t.target, d.u, coalesce(least(2.0::double, l.rate * d.w), 2.0::double) as e
+    from d join t on d.source is not distinct from t.source join l on d.source is not distinct from l.source),
+p as (select *, floor(e) as certain, e - floor(e) as p from e),
+q as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q, target - sum(certain * size) over (partition by source) as need from p),
 c as (select *, sum(size) over (partition by source order by q, doc_id, size rows unbounded preceding) as upto from q where p > 0
     union all select *, 0 from q where p <= 0)
 select doc_id, size, source_size, round(target, 6) as target, ((certain + case when p > 0 and upto - size / 2.0 <= need then 1 else 0 end) * size)::bigint as taken from c

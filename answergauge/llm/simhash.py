@@ -76,12 +76,12 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
-def _with_fingerprint(text_at: int):
+def _with_fingerprint(text_at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pair = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at)], names=["doc_id", "text"])
             for out in _fingerprint_batches(iter([pair])):
-                yield pa.RecordBatch.from_arrays([*batch.columns, out.column(1)], names=[*batch.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out.column(1)], names=[*batch.schema.names, name])
 
     return run
 
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A-Z are lower-cased. A text of one or two words is one shingle; one without words, or null, has fingerprint 0.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("doc_id"), store.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
 
@@ -296,11 +296,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     distinct = store.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     known = components(links(distinct.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
     table = distinct.join(known, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = table.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "fp", "n")).alias("row"))
-    stays = store.cut(least.select(F.col("row.id").alias("__id"), F.col("row.fp").alias("__fp"), F.col("row.n").alias("__n")))
+    least = table.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "fp")).alias("row"))
+    stays = store.cut(least.select("row.id", "row.fp"))
     total, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if total == ids:  # an id says which row
-        return docs.join(stays, docs[id_col] == stays["__id"], "left_semi")
-    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    kept = store.lookup(marked, stays, "__fp", "__n", total).where(F.col(id_col).eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__fp"]).select(*docs.columns)
+        keys = stays.select(F.col("id").alias("key"))
+        return store.marked(docs, store.col(id_col)).join(keys.hint("merge"), "key", "left_semi").select("row.*")
+    name = store.unused(docs.columns, "fp")
+    with_fp = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col), name), StructType([*docs.schema.fields, StructField(name, LongType())]))
+    key = store.name_of(store.col(name), store.col(id_col))
+    each = with_fp.select(key.alias("key"), F.struct(*map(store.col, docs.columns)).alias("row"))
+    return store.pick(each, stays.select(store.name_of(F.col("fp"), F.col("id")).alias("key")))

@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than 1 / HEAVY_SHARE of all rows is heavy; so there are fewer than HEAVY_SHARE of them.
@@ -15,9 +15,11 @@ HEAVY_SHARE = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own, if all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/answergauge-shared"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,6 +50,39 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return hot.unionByName(cold)
 
 
+def col(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that columns don't have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def marked(docs: DataFrame, key: Column, **others: Column) -> DataFrame:
+    """key, row (all columns of docs as one, so that no name clashes with others), and others."""
+    return docs.select(key.alias("key"), F.struct(*map(col, docs.columns)).alias("row"), *[c.alias(k) for k, c in others.items()])
+
+
+def name_of(*values: Column) -> Column:
+    """One string for some values, nulls apart from others; values but the last have no colon."""
+    return F.concat_ws(":", *[F.coalesce(F.concat(F.lit("="), v.cast("string")), F.lit("")) for v in values])
+
+
+def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of rows (key, row) one for each key that keys (distinct) has, as the columns of row.
+
+    Rows of one key become one in the tasks that read them, so a key may have any share of all rows; they move once,
+    for the join finds them dealt out and sorted by key. Of different rows with one key any stays.
+    """
+    one = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return one.join(keys.hint("merge"), "key", "left_semi").select("row.*")
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker (functions come by value, so module globals don't)."""
     held = sys.modules.setdefault("_answergauge_worker", types.ModuleType("_answergauge_worker"))

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from answergauge.llm import exact_dedup, store
 
 SCHEMA = "doc_id long, text string, digest string"
@@ -44,13 +46,56 @@ def test_index_persists_and_later_batches_are_compared_with_it(spark):
     assert again.table().count() == 3
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_join_uses_its_buckets(spark):
     index = index_of(spark)
-    docs = spark.createDataFrame([(1, "a", "x")], SCHEMA)
-    index.add(docs)
-    batch = docs.select(exact_dedup.digest_of(docs.text).alias("digest"))
-    plan = batch.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    index.add(spark.createDataFrame([(1, "a", "x")], SCHEMA))
+    batch = spark.createDataFrame([(1, "a", "x")], SCHEMA).select(exact_dedup.digest_of(F.col("text")).alias("digest"))
+    with index.ordered() as known:
+        plan = plan_of(batch.join(known.hint("merge"), "digest", "left_anti"))
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1  # the batch's alone
+
+
+def test_three_appends_and_a_rewrite(spark, monkeypatch):
+    """After the rewrite each bucket is one sorted file, so the join sorts nothing of the index; a cut-off rewrite doesn't count."""
+    monkeypatch.setattr(exact_dedup, "FILES", 3)
+    index = index_of(spark)
+    batches = [spark.createDataFrame([(100 * k + i, f"t{k}.{i}", "x") for i in range(50)] + [(7, "t0.0", "y")], SCHEMA) for k in range(5)]
+    for k, docs in enumerate(batches):
+        kept = exact_dedup.drop_duplicates(docs, index)
+        assert kept.count() == 50
+        assert index.table().count() == 50 * (k + 1)
+    assert index.number == 2 and index._appends() <= 2  # written anew after the fourth
+    index.compact()
+    assert index.number == 3 and index._appends() == 1 and index.table().count() == 250
+    spark.range(1).write.parquet(f"{index.path}/00000009-4")
+    (index.files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/00000009-4/_SUCCESS"), False))
+    index.close()
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.number, again.buckets) == (3, 4)
+    with again.ordered() as known:
+        plan = plan_of(batches[0].select(exact_dedup.digest_of(F.col("text")).alias("digest")).join(known.hint("merge"), "digest", "left_anti"))
+    assert "Bucketed: true" in plan and plan.count("Sort [") == 1
+    assert exact_dedup.drop_duplicates(batches[3], again).count() == 50
+    again.close()
+
+
+def test_buckets_grow_with_the_rows():
+    assert exact_dedup.buckets_for(0) == exact_dedup.buckets_for(10**6) == 64
+    for rows in (10**9, 10**11):
+        assert rows / exact_dedup.PER_BUCKET <= exact_dedup.buckets_for(rows) < 2 * rows / exact_dedup.PER_BUCKET + 64
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a", "x", 1, "k"), (1, "a", "x", 1, "k"), (2, "a", "y", 2, "k"), (None, "b", "z", 3, "k"), (None, "b", "z", 3, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__digest` string, `a.b` long, key string")
+    kept = exact_dedup.drop_duplicates(docs, index_of(spark))
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
+    assert plan_of(kept).count("Exchange hashpartitioning") == 2  # the rows once, and the keys
 
 
 def test_empty_table(spark):

@@ -1,3 +1,5 @@
+import hashlib
+import random
 from collections import Counter, defaultdict
 
 from answergauge.llm import mixing
@@ -59,6 +61,67 @@ def test_sample_has_each_row_as_often_as_it_is_taken(spark):
     assert got == +want
 
 
+def expected(rows, target):
+    """Expected copies by rounds: those that would be over 2 stop there, the others share what is left. rows: (size, weight)."""
+    full = set()
+    while True:
+        rest = [k for k in range(len(rows)) if k not in full]
+        weighted = sum(rows[k][0] * rows[k][1] for k in rest)
+        rate = (target - 2 * sum(rows[k][0] for k in full)) / weighted if weighted else 0
+        over = [k for k in rest if rate * rows[k][1] > 2]
+        if not over:
+            return [2 if k in full else rate * rows[k][1] for k in range(len(rows))]
+        full |= set(over)
+
+
+def test_rates_equal_the_rounds(spark):
+    rng = random.Random(4)
+    levels = {k: [(rng.randint(1, 500), w) for w in rng.sample(range(1, 200), 9)] for k in "abcd"}
+    goals = {k: f * sum(n for n, _ in levels[k]) for k, f in zip("abcd", (0.3, 1.0, 1.7, 2.0), strict=True)}
+    frame = spark.createDataFrame([(k, w, n, goals[k]) for k in levels for n, w in levels[k]], "key string, w long, level_size long, target double")
+    got = {r.key: r.rate for r in mixing.rates(frame).collect()}
+    for k in "abc":
+        want = expected(levels[k], goals[k])
+        assert all(abs(min(2, got[k] * w) - e) < 1e-9 for (_, w), e in zip(levels[k], want, strict=True))
+    assert got["d"] is None or all(got["d"] * w >= 2 - 1e-9 for _, w in levels["d"])
+
+
+def test_taken_words_follow_the_pareto_ranks(spark):
+    """The whole draw of one source by a plain loop."""
+    rows = [(i, i % 451, "a") for i in range(700)] + [(1000 + i, 10, "b") for i in range(50)]
+    got = {r.doc_id: r for r in mixing.mix(table(spark, rows), weights=(1, 3)).collect()}
+    mine = [(i, n) for i, n, s in rows if s == "a"]
+    weigh = lambda n: int(min(2, max(0.5, n / 200)) * 16 + 0.5)
+    e = expected([(n, weigh(n)) for _, n in mine], got[0].target)
+    ranks, need = [], got[0].target
+    for (i, n), x in zip(mine, e, strict=True):
+        need -= int(x) * n
+        u = (int(hashlib.md5(f"mix{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        p = x - int(x)
+        if p > 0:
+            ranks.append(((u / (1 - u)) / (p / (1 - p)), i, n))
+    want, upto = {i: int(x) for (i, _), x in zip(mine, e, strict=True)}, 0
+    for _, i, n in sorted(ranks):
+        upto += n
+        want[i] += upto - n / 2 <= need
+    assert {i: got[i].copies for i, _ in mine} == want
+    assert len({round(x, 6) for x in e}) > 10  # inclusion differs from document to document
+
+
+def test_sample_keeps_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, `a.b` long, `__n` string, key long, row long, copies string, take int"
+    rows = [(i if i % 5 else None, f"t{i % 3} u", "s", i % 2, "n", i, None, "c", 4) for i in range(60)] + [(3, "t0 u", "s", 1, "n", 3, None, "c", 4)] * 20
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.sample(docs, share=1.3)
+    assert out.schema == docs.schema
+    plan = Counter()
+    for r in mixing.mix(docs, share=1.3).collect():
+        plan[r.doc_id, r["size"]] += r.copies
+    got = out.collect()
+    assert Counter((r.doc_id, len(r.text.split())) for r in got) == +plan
+    assert set(map(tuple, got)) <= set(rows) and max(Counter(map(tuple, got)).values()) <= 2 * 21
+
+
 def test_empty_table(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.sample(table(spark, [])).count() == 0
@@ -68,7 +131,7 @@ def test_weights_of_documents(spark):
     """Expected copies follow the weights within a source; the source still gets its target."""
     rows = [(i, 10, "a", [0.5, 1.0, 2.0][i % 3]) for i in range(900)] + [(1000, 10, "a", None), (1001, 10, "a", -1.0), (1002, 7, "b", 0.0)]
     docs = spark.createDataFrame([(i, "w " * n, s, w) for i, n, s, w in rows], "doc_id long, text string, source string, score double")
-    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1), weight_col="score").collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1, 1), weight=docs.score).collect()}
     copies = [sum(got[i].copies for i in range(k, 900, 3)) / 300 for k in range(3)]
     assert copies[0] < 0.75 * copies[1] and copies[1] < 0.75 * copies[2] + 0.3 and all(r.copies <= 2 for r in got.values())
     assert got[1000].copies == got[1001].copies == got[1002].copies == 0

@@ -137,6 +137,9 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str)
     assert got == sorted([(None, texts(a)[0]), (None, texts(b)[0]), (3, texts(c)[0]), (5, texts(d)[0]), (7, texts(e)[0])], key=str)
+    named = docs.selectExpr("doc_id", "text", "1 as `a.b`", "2 as __fp", "3 as row")
+    assert sorted(((r.doc_id, r.text.lower()) for r in simhash.drop_near_duplicates(named).collect()), key=str) == got
+    assert simhash.drop_near_duplicates(named).columns == named.columns
     one = spark.createDataFrame([(None, None, "x")] * 3, SCHEMA)
     assert [tuple(r) for r in simhash.drop_near_duplicates(one).collect()] == [(None, None, "x")]
 
