@@ -53,7 +53,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "place")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,15 @@ select doc_id, keep_id, group_size, (doc_id is not distinct from keep_id) and nt
 """
 
 OP7_SQL = r"""
-with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
-d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
-r as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from d)
+with p as (select page_id, lower(trim(coalesce(url, ''))) as u, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, u, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
+    string_split(regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#:]*)', 1), '^www[0-9]*[.]', ''), '.') as labels,
+    regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, array_to_string(list_sort(string_split(regexp_extract(u, '^[^?#]*[?]([^#]*)', 1), '&')), '&') as query from p),
+r as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id,
+    case when u = '' then '' else array_to_string(list_reverse(labels), ',') || ')' || case when path = '' then '/' else path end || case when query = '' then '' else '?' || query end end as url_key from d)
+-- a page was taken at the second of its id, so the merged index goes by URL key and id
 select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
-    case when page_id <> first_id then first_id end as refers_to from r
+    case when page_id <> first_id then first_id end as refers_to, row_number() over (order by encode(url_key), page_id) - 1 as place from r
 """
 
 OP4_SQL = r"""

@@ -9,7 +9,7 @@ Index. Each task that reads archives sorts its captures in runs of RUN rows, by
 runs at the bounds of ranges and into blocks. The blocks of a range come to one task in order of their first capture,
 and a loser tree merges the runs they belong to: a block is opened when the merge gets to its first capture, so a task
 holds a block of each run, not its range. Bounds are quantiles of a sample by hash of whole captures, so captures of one
-URL, however many, are dealt out over ranges. The order over all ranges is (range, position).
+URL, however many, are dealt out over ranges. The order over all ranges is (range, position), or place.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -32,11 +32,21 @@ from . import store
 LEAST, ARCHIVE_BYTES = 100, 32 << 20
 #: Captures in a run, in a block, in a range (about), and sampled for each bound.
 RUN, BLOCK, RANGE, SAMPLED = 100_000, 2048, 200_000, 32
-MOST_RANGES = 4096
+#: Captures in the sample at most: beyond that many ranges, there are fewer for each bound, and one at least.
+SAMPLE = 1 << 17
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
+def utc(when: Column) -> Column:
+    """A timestamp as WARC writes it, whatever the session's time zone."""
+    second = F.unix_seconds(when)
+    day = F.date_from_unix_date(F.floor(second / 86400).cast("int")).cast("string")
+    of_day = F.pmod(second, F.lit(86400))
+    two = lambda part: F.lpad(F.floor(part).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), two(of_day / 3600), F.lit(":"), two(F.pmod(of_day, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(of_day, F.lit(60))), F.lit("Z"))
+
+
 def _line(col: Column) -> Column:
     """A header's value on one line."""
     for raw, coded in (("\r", "%0D"), ("\n", "%0A"), ("\t", "%09"), (" ", "%20")):
@@ -45,34 +55,35 @@ def _line(col: Column) -> Column:
 
 
 def record_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, payload_digest, payload_bytes, record_type, refers_to: a row for each distinct (id, payload).
+    """page_id, payload_digest, payload_bytes, n, record_type, refers_to: a row for each distinct (id, payload), n of them.
 
     Null payloads count as empty. Rows that repeat both the id and the payload have the same record type.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = store.cut(
-        pages.select(F.col(id_col).alias("page_id"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes")).distinct()
-    )
+    html = F.coalesce(store.col(html_col), F.lit(""))
+    each = pages.select(store.col(id_col).alias("page_id"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    rows = store.cut(each.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count("*").alias("n")))
     long = rows.where(F.col("payload_bytes") >= LEAST)
-    groups = store.cut(long.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")))
-    typed = store.lookup(long, groups, "payload_digest", "n", long.count())
+    groups = store.cut(long.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("ids")))
+    typed = store.lookup(long, groups, "payload_digest", "ids", long.count())
     again = ~F.col("page_id").eqNullSafe(F.col("first_id"))
     short = rows.where(F.col("payload_bytes") < LEAST)
     return typed.select(
-        "page_id", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")
+        "page_id", "payload_digest", "payload_bytes", "n", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")
     ).unionByName(short.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(rows.schema["page_id"].dataType)}))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time: Column | None = None) -> None:
     """Write a record for each row of pages below path. time: when the page was taken; by default, its id in seconds."""
     types = store.cut(record_types(pages, id_col, html_col))
-    size, rows = types.agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 600), F.count("*")).first()
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    when = time if time is not None else F.timestamp_seconds(F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(10**10)))
-    parts = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.sha2(html.cast("binary"), 256).alias("digest")
-    )
-    found = parts.join(types, parts["id"].eqNullSafe(types["page_id"]) & (parts["digest"] == types["payload_digest"]))
+    # Of rows that repeat, each is a record.
+    size, rows, most = types.agg(F.sum((F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 600) * F.col("n")), F.sum("n"), F.max("n")).first()
+    html = F.coalesce(store.col(html_col), F.lit(""))
+    when = time if time is not None else F.timestamp_seconds(F.pmod(F.coalesce(store.col(id_col).cast("long"), F.lit(0)), F.lit(10**10)))
+    key = store.name_of(F.col("digest"), F.col("id"))
+    parts = pages.select(store.col(id_col).alias("id"), store.col(url_col).cast("string").alias("url"), html.alias("html"), utc(when).alias("date"), F.sha2(html.cast("binary"), 256).alias("digest")).withColumn("key", key)
+    kinds = types.select(store.name_of(F.col("payload_digest"), F.col("page_id")).alias("key"), "payload_bytes", "record_type", "refers_to", "n")
+    # The join deals pages out by hash, each page once, so large ones don't stand together in a file.
+    found = store.lookup(parts, kinds, "key", "n", rows) if rows and most > rows / store.HEAVY_SHARE and most > 1 else parts.join(kinds.hint("merge"), "key")
     name = lambda col: F.concat(F.lit("<urn:x-page:"), F.coalesce(col.cast("string"), F.lit("")), F.lit(":"), F.substring("digest", 1, 16), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(F.col("record_type") == "response", F.concat(http, "html")).otherwise(http)
@@ -180,40 +191,56 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", with_
 
 
 class LoserTree:
-    """The least of the heads of some runs. A run without a head loses against all; ties go to the run that came first."""
+    """The least of the heads of some runs. A run without a head loses against all; ties go to the run that came first.
+
+    Runs are leaves; there is room for twice as many whenever they don't suffice. An inner node has the run that lost there.
+    """
 
     def __init__(self):
-        self.heads: list = []
+        self.heads: list = [None]
         self.tree = [0]  # losers at inner nodes, the winner at 0
-        self.width = 1
+        self.runs = 0
 
     def _beats(self, a: int, b: int) -> bool:
-        x = self.heads[a] if a < len(self.heads) else None
-        y = self.heads[b] if b < len(self.heads) else None
+        x, y = self.heads[a], self.heads[b]
         return x is not None and (y is None or x < y or (x == y and a < b))
 
-    def _build(self) -> None:
-        while self.width < len(self.heads):
-            self.width *= 2
-        wins = [*[0] * self.width, *range(self.width)]
-        self.tree = [0] * self.width
-        for k in range(self.width - 1, 0, -1):
-            a, b = wins[2 * k], wins[2 * k + 1]
-            wins[k], self.tree[k] = (a, b) if self._beats(a, b) or not self._beats(b, a) else (b, a)
-        self.tree[0] = wins[1] if self.width > 1 else 0
+    def _grow(self) -> None:
+        """Twice the leaves: the winner so far meets the first of the new ones, that all have no head, at the root."""
+        old, width = self.tree, len(self.heads)
+        self.heads += [None] * width
+        self.tree = [old[0], width] + [0] * (2 * width - 2)
+        for k in range(1, width):  # the tree so far is the left half, its node k one level lower
+            top = 1 << (k.bit_length() - 1)
+            self.tree[k + top] = old[k]
+            # of the right half's leaves, the first of each node wins
+            level = width // top
+            self.tree[k + 2 * top] = width + (k - top) * level + level // 2
+
+    def _lead(self, run: int) -> None:
+        """Make a run the winner, as if it had come first in all its matches; others' matches are as they were."""
+        leaf, level, behind = len(self.heads) + run, 1, 0
+        while node := leaf >> level:
+            lost = self.tree[node]
+            if (len(self.heads) + lost) >> (level - 1) == leaf >> (level - 1):
+                # The run's own side lost here. The run that won here is the next one found to have lost on that side.
+                if behind:
+                    self.tree[behind] = lost
+                behind = node
+            level += 1
+        if behind:
+            self.tree[behind] = self.tree[0]
+        self.tree[0] = run
 
     def put(self, run: int, head) -> None:
-        """Give a run its next head, or None. The run that won is replayed on its way up; others build the tree anew."""
-        if run == len(self.heads):
-            self.heads.append(head)
-            self._build()
-            return
-        winner = self.tree[0]
+        """Give a run its next head, or None, and replay its matches on the way up. A new run has the number runs."""
+        while run >= len(self.heads):
+            self._grow()
+        self.runs = max(self.runs, run + 1)
+        if run != self.tree[0]:
+            self._lead(run)
         self.heads[run] = head
-        if run != winner:
-            self._build()
-            return
-        node, now = (self.width + run) // 2, run
+        node, now = (len(self.heads) + run) // 2, run
         while node:
             if self._beats(self.tree[node], now):
                 now, self.tree[node] = self.tree[node], now
@@ -221,7 +248,7 @@ class LoserTree:
         self.tree[0] = now
 
     def winner(self) -> int | None:
-        return self.tree[0] if self.heads and self.heads[self.tree[0]] is not None else None
+        return self.tree[0] if self.heads[self.tree[0]] is not None else None
 
 
 def merge_blocks(blocks: Iterator[tuple[int, list]]) -> Iterator:
@@ -237,7 +264,7 @@ def merge_blocks(blocks: Iterator[tuple[int, list]]) -> Iterator:
             if leaf == len(queues):
                 queues.append([])
             queues[leaf].append(iter(ahead[1]))
-            if leaf == len(tree.heads) or tree.heads[leaf] is None:
+            if leaf == tree.runs or tree.heads[leaf] is None:
                 tree.put(leaf, next(queues[leaf][0]))
             ahead = next(blocks, None)
         at = tree.winner()
@@ -315,26 +342,41 @@ def _merged(entry: pa.DataType):
     return run
 
 
+def _bounds(captures: DataFrame, count: int) -> list[tuple]:
+    """Keys that cut the captures into ranges of about RANGE (of more, once SAMPLE ranges of these don't do)."""
+    ranges = min(SAMPLE, -(-count // RANGE))
+    if ranges < 2:
+        return []
+    each = max(1, min(SAMPLED, SAMPLE // ranges))
+    # Rows with the smallest hashes; those of about twice the sample's share are looked at, so the sort is of a bounded size.
+    keys = captures.select("url_key", "time", "page_id", "file", "offset", F.xxhash64("url_key", "time", "page_id", "file", "offset").alias("h"))
+    share = min(1.0, (2 * ranges * each + 1000) / count)
+    some = keys.where(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("h", "file", "offset").limit(ranges * each).collect()
+    return sorted(_key(r.asDict()) for r in some)[each::each]
+
+
 def merge_index(captures: DataFrame) -> DataFrame:
-    """captures with range and position: in order of both, they go by URL key, time and id. An empty table gives none."""
+    """captures with range, position (in the range) and place (in all of the index, gapless from 0).
+
+    In order of place they go by URL key, time and id. An empty table gives none.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     captures = store.cut(captures)
-    ranges = min(MOST_RANGES, max(1, -(-captures.count() // RANGE)))
-    # Rows with the smallest hashes are a sample of bounded size; which ones doesn't matter but for balance.
-    sample = captures.orderBy(F.xxhash64("url_key", "time", "page_id", "file", "offset")).limit(ranges * SAMPLED if ranges > 1 else 0).collect()
-    keys = sorted(_key(r.asDict()) for r in sample)
-    bounds = keys[SAMPLED::SAMPLED]
+    bounds = _bounds(captures, captures.count())
     entry = pa.struct(to_arrow_schema(captures.schema))
     kind = captures.schema.simpleString()
     blocks = captures.mapInArrow(_runs(bounds, entry), f"range int, run long, block array<{kind}>")
     first = [F.col("block")[0][c] for c in ("url_key", "time", "page_id", "file", "offset")]
     dealt = blocks.repartition("range").sortWithinPartitions("range", *first)
-    return dealt.mapInArrow(_merged(entry), f"range int, position long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in captures.schema)}")
+    merged = store.cut(dealt.mapInArrow(_merged(entry), f"range int, position long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in captures.schema)}"))
+    sizes = merged.groupBy("range").agg(F.count("*").alias("size"))  # SAMPLE rows at most
+    before = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return merged.join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("position")).drop("before")
 
 
 def capture_histories(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """The captures of the archives below path, ordered by (range, position): URL by URL, and each by time.
+    """The captures of the archives below path, ordered by place: URL by URL, and each by time.
 
     Null ids sort first, null URLs have the empty key. Captures that agree in all of it go by file and offset.
     """

@@ -56,13 +56,62 @@ def test_histories_are_in_order(spark, archives, small, monkeypatch):
     if small:
         for name, value in (("RUN", 7), ("BLOCK", 2), ("RANGE", 40), ("SAMPLED", 4)):
             monkeypatch.setattr(warc, name, value)
-    got = warc.capture_histories(spark, archives).orderBy("range", "position").collect()
+    got = warc.capture_histories(spark, archives).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(len(got))) and sorted(got, key=lambda r: (r.range, r.position)) == got
     keys = [warc._key(r.asDict()) for r in got]
     assert keys == sorted(keys) and len(got) == len(pages())
     assert len({r.range for r in got}) > 1 or not small
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(pages())
 
 
+class Counted(int):
+    """A number that counts how often it is compared."""
+
+    times = 0
+
+    def __lt__(self, other):
+        Counted.times += 1
+        return int(self) < int(other)
+
+
+def test_many_runs_cost_a_path_each():
+    rng = random.Random(4)
+    runs = [sorted(rng.randrange(10**9) for _ in range(6)) for _ in range(2000)]
+    blocks = sorted(([Counted(x) for x in r[i : i + 2]], k) for k, r in enumerate(runs) for i in (0, 2, 4))
+    Counted.times = 0
+    out = [int(x) for x in warc.merge_blocks((k, b) for b, k in blocks)]
+    assert out == sorted(x for r in runs for x in r)
+    assert Counted.times < 3 * len(out) * 12  # not runs times runs
+
+
+def test_a_tree_takes_heads_in_any_order():
+    rng = random.Random(5)
+    for _ in range(200):
+        tree, heads = warc.LoserTree(), {}
+        for _ in range(60):
+            run = rng.randint(0, min(tree.runs, 20))
+            heads[run] = rng.choice([None, rng.randint(0, 9)])
+            tree.put(run, heads[run])
+            least = min(((h, k) for k, h in heads.items() if h is not None), default=(None, None))
+            assert tree.winner() == least[1]
+
+
+def test_dates_are_utc_and_pages_are_bounded_in_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    rows = [(i, f"http://h.example/{i}", f"{i} " * (2000 if i < 100 else 5), "x") for i in range(400)] + [(7, "http://h.example/7", "7 " * 2000, "x")] * 40
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(2), f"{tmp_path}/u")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    got = warc.read_archives(spark, f"{tmp_path}/u").collect()
+    assert len(got) == len(rows) and len({r.file for r in got}) > 3
+    assert {r.time for r in got if r.page_id == 0} == {"1970-01-01T00:00:00Z"} and {r.time for r in got if r.page_id == 399} == {"1970-01-01T00:06:39Z"}
+    when = spark.sql("select timestamp_seconds(-1) as a, timestamp_seconds(951868799) as b")
+    assert tuple(when.select(warc.utc(when.a), warc.utc(when.b)).first()) == ("1969-12-31T23:59:59Z", "2000-02-29T23:59:59Z")
+
+
 def test_merge_opens_blocks_as_they_are_reached():
     rng = random.Random(2)
     for n in (0, 1, 2, 5, 13):
