@@ -1,13 +1,14 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints are reduced to distinct ones first, so copies cost nothing more. Two fingerprints that differ in at most
-three bits agree in one of four blocks of 16 bits, so the upper nodes of the index are the 4 * 65536 patterns of a
-block: a fingerprint is sent to four of them, and any linked pair meets below one. Below an upper node, fingerprints
-(rotated so that the shared block leads) are sorted by Gray rank. Members that share further masked patterns then stand
-together, level by level; the pattern is kept once, in their node. Nodes are compared with nodes, differences add up on
-the way down, and a pair of nodes is dropped with all below it once the sum is over the limit. It is taken as a whole,
-too: if the sum and all bits that vary below make no more than the limit, all members are linked, without a look at
-the pairs.
+Fingerprints are reduced to distinct ones first, so copies cost nothing more. The bits are cut into blocks; two fingerprints
+that differ in at most three bits agree in all blocks but three, so the upper nodes of the index are the patterns of that
+many blocks: of one of four blocks (16 bits, each fingerprint goes to four upper nodes), or, once these would have more than
+MEMBERS members on average, of two of five blocks, and so on (blocks_for). Any linked pair meets below one. Below an upper
+node, fingerprints (their bits in such an order that the shared blocks lead) are sorted by Gray rank. Members that share
+further masked patterns then stand together, LEVEL bits at a time; the pattern is kept once, in their node. Nodes are
+compared with nodes, differences add up on the way down, and a pair of nodes is dropped with all below it once the sum is
+over the limit. It is taken as a whole, too: if the sum and all bits that vary below make no more than the limit, all
+members are linked, without a look at the pairs.
 
 Below a node only a spanning forest of the links goes out, so links grow with the members, not with their square. An
 upper node with more than SEGMENT members is dealt out over several tasks, pairs of segments each.
@@ -16,6 +17,7 @@ upper node with more than SEGMENT members is dealt out over several tasks, pairs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from . import store
 from .components import components
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
-BLOCKS, BITS = 4, 16
+#: Bits of a level below an upper node, and members of an upper node, on average, beyond which more blocks are shared.
+LEVEL, MEMBERS = 4, 4096
 #: Members of an upper node that one task compares with each other, and pairs that are looked at in one step.
 SEGMENT, STEP = 16384, 1 << 21
 #: Rows that are summed before a lane of eight bits could overflow, and rows that are spread at once.
@@ -104,28 +107,61 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def blocks_for(n: int) -> int:
+    """Into how many blocks the bits are cut for so many fingerprints."""
+    blocks = LIMIT + 1
+    while n >> min(map(shared_bits, patterns(blocks))) > MEMBERS and blocks < 2 * LIMIT + 2:
+        blocks += 1
+    return blocks
+
+
+def patterns(blocks: int) -> list[list[tuple[int, int]]]:
+    """The choices of blocks, as (first bit, last bit) from the upper end, that all pairs within LIMIT bits agree in one of."""
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    return [[(edge[k], edge[k + 1]) for k in some] for some in combinations(range(blocks), blocks - LIMIT)]
+
+
+def shared_bits(pattern: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in pattern)
+
+
+def arranged(fp: np.ndarray, pattern: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with the bits of a pattern in front, the others behind, in order."""
+    rest, at = [], 0
+    for a, b in [*pattern, (64, 64)]:
+        rest, at = [*rest, (at, a)], b
+    out, used = np.zeros_like(fp), 0
+    for a, b in [*pattern, *rest]:
+        if b > a:
+            bits = fp >> np.uint64(64 - b) & np.uint64((1 << (b - a)) - 1)
+            used += b - a
+            out |= bits << np.uint64(64 - used)
+    return out
+
+
 class GrayIndex:
-    """Nodes over codes that are sorted by group and Gray rank; a level for each 16 bits of the codes."""
+    """Nodes over codes that are sorted by group and Gray rank; a level for each LEVEL bits of the codes below the shared ones."""
 
-    def __init__(self, group: np.ndarray, codes: np.ndarray):
-        """group: int64, equal for codes under one upper node; the upper 16 bits of these are equal."""
+    def __init__(self, group: np.ndarray, codes: np.ndarray, shared: int):
+        """group: int64, equal for codes under one upper node; the upper shared bits of these are equal."""
         n = len(codes)
-        self.codes = codes
+        self.codes, self.pairs = codes, 0  # and pairs of nodes that were looked at
         change = np.concatenate(([True], group[1:] != group[:-1])) if n else np.zeros(0, bool)
-        self.levels = []  # first member of each node, children's bounds in the next level, pattern, varying bits
+        self.levels = []  # first member of each node, members, pattern, varying bits below, bits below, children's bounds in the next level
+        ends = [*range(shared, 64, LEVEL), 64]
         starts = []
-        for depth in range(BLOCKS):
-            prefix = codes >> np.uint64(64 - BITS * (depth + 1))
+        for end in ends:
+            prefix = codes >> np.uint64(64 - end)
             new = change.copy()
             new[1:] |= prefix[1:] != prefix[:-1]
             starts.append(np.flatnonzero(new))
-        for depth, first in enumerate(starts):
-            low = np.uint64((1 << (64 - BITS * (depth + 1))) - 1)
+        for depth, (first, end) in enumerate(zip(starts, ends, strict=True)):
+            low = np.uint64((1 << (64 - end)) - 1)
             size = np.diff(np.append(first, n))
             vary = np.bitwise_or.reduceat(codes ^ np.repeat(codes[first], size), first) & low if n else codes[:0]
-            pattern = (codes[first] >> np.uint64(64 - BITS * (depth + 1))) & np.uint64((1 << BITS) - 1)
-            child = np.searchsorted(starts[depth + 1], np.append(first, n)) if depth + 1 < BLOCKS else None
-            self.levels.append((first, size, pattern, vary, child))
+            pattern = (codes[first] >> np.uint64(64 - end)) & np.uint64((1 << LEVEL) - 1)
+            child = np.searchsorted(starts[depth + 1], np.append(first, n)) if depth + 1 < len(ends) else None
+            self.levels.append((first, size, pattern, vary, low, child))
 
     def links(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links (members a, members b) that join all that differ in at most limit bits, and no others."""
@@ -134,18 +170,16 @@ class GrayIndex:
         stack = [(0, top, top, np.zeros(len(top), np.int64))]
         while stack:
             depth, a, b, sums = stack.pop()
-            first, size, _, vary, child = self.levels[depth]
+            first, size, _, vary, low, child = self.levels[depth]
             alone = (a == b) & (size[a] == 1)
             a, b, sums = a[~alone], b[~alone], sums[~alone]
             # Members of a and b differ in the sum, and below in bits that vary or in which the first ones differ.
-            below = vary[a] | vary[b]
-            if depth + 1 < BLOCKS:
-                below = below | ((self.codes[first[a]] ^ self.codes[first[b]]) & np.uint64((1 << (64 - BITS * (depth + 1))) - 1))
+            below = vary[a] | vary[b] | ((self.codes[first[a]] ^ self.codes[first[b]]) & low)
             whole = sums + np.bitwise_count(below) <= limit
             if whole.any():
                 yield from self._join(first, size, a[whole], b[whole])
                 a, b, sums = a[~whole], b[~whole], sums[~whole]
-            if depth + 1 == BLOCKS or not len(a):
+            if child is None or not len(a):
                 continue
             wide = child[a + 1] - child[a]
             high = child[b + 1] - child[b]
@@ -175,6 +209,7 @@ class GrayIndex:
                 pair = np.zeros(len(left) * int(high[0]), np.int64)
                 x, y = np.repeat(left, int(high[0])), np.tile(np.arange(int(child[b[0]]), int(child[b[0] + 1])), len(left))
             keep = (a[pair] != b[pair]) | (x <= y)
+            self.pairs += len(pair)
             pair, x, y = pair[keep], x[keep], y[keep]
             new = sums[pair] + np.bitwise_count(pattern[x] ^ pattern[y])
             near = new <= limit
@@ -208,46 +243,50 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _forest(group: np.ndarray, block: np.ndarray, fp: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes, a spanning forest for each group."""
-    turn = (block * BITS).astype(np.uint64)
-    codes = (fp << turn) | np.where(turn > 0, fp >> ((np.uint64(64) - turn) & np.uint64(63)), np.uint64(0))
+def _forest(group: np.ndarray, pattern: list[tuple[int, int]], fp: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes, a spanning forest for each group; groups are upper nodes of one pattern."""
+    codes = arranged(fp, pattern)
     order = np.lexsort((gray_rank(codes), group))
     group, codes, node = group[order], codes[order], node[order]
     label = np.arange(len(codes))
-    for a, b in GrayIndex(group, codes).links(limit):
+    for a, b in GrayIndex(group, codes, shared_bits(pattern)).links(limit):
         label = merge(label, a, b)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return node[moved], node[label[moved]]
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, block, fp, node), sorted by part, into links (a, b)."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def linked(table: pa.Table) -> pa.RecordBatch:
-        part, block, fp, node = (table.column(k).to_numpy() for k in range(4))
-        a, b = _forest(part, block.astype(np.int64), fp.view(np.uint64), node, LIMIT)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _linker(choices: list[list[tuple[int, int]]]):
+    """Rows (pattern, upper, part, fp, node), sorted by the first three, into links (a, b)."""
 
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 1 << 16:
-            table = pa.Table.from_batches(held).combine_chunks()
-            part = table.column(0).to_numpy()
-            last = int(np.searchsorted(part, part[-1]))  # the last part may go on
-            if last:
-                yield linked(table.slice(0, last))
-            held, rows = table.slice(last).to_batches(), table.num_rows - last
-    if rows:
-        yield linked(pa.Table.from_batches(held).combine_chunks())
+    def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        pattern, upper, part, fp, node = (table.column(k).to_numpy() for k in range(5))
+        new = (upper[1:] != upper[:-1]) | (part[1:] != part[:-1]) | (pattern[1:] != pattern[:-1])
+        group = np.concatenate(([0], np.cumsum(new)))
+        for k in np.unique(pattern):
+            some = pattern == k
+            a, b = _forest(group[some], choices[k], fp[some].view(np.uint64), node[some], LIMIT)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 16:
+                table = pa.Table.from_batches(held).combine_chunks()
+                differs = np.zeros(rows, bool)
+                for k in range(3):
+                    column = table.column(k).to_numpy()
+                    differs |= column != column[-1]
+                last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last group may go on
+                if last:
+                    yield from linked(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), rows - last
+        if rows:
+            yield from linked(pa.Table.from_batches(held).combine_chunks())
 
-def _block(k: int) -> Column:
-    """Block k of the bits, from the upper end."""
-    return F.shiftrightunsigned("fp", 64 - BITS * (k + 1)).bitwiseAND((1 << BITS) - 1).cast("int")
+    return run
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -255,18 +294,26 @@ def links(distinct: DataFrame) -> DataFrame:
 
     distinct: fp long, node long; fingerprints are distinct.
     """
-    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), (F.lit(k << BITS) + _block(k)).alias("upper")) for k in range(BLOCKS)])).alias("u")
-    sent = distinct.select("fp", "node", upper).select("fp", "node", "u.block", "u.upper")
-    counts = sent.groupBy("upper").agg(F.count("*").alias("n"))
-    large = store.cut(counts.where(F.col("n") > SEGMENT).select("upper", F.ceil(F.col("n") * 2 / SEGMENT).cast("int").alias("segments")))
-    # There are at most 4 * 65536 upper nodes, so the large ones are a small table, whatever the data.
-    dealt = sent.join(F.broadcast(large), "upper", "left")
+    choices = patterns(blocks_for(distinct.count()))
+
+    def value(pattern: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("long")
+        for a, b in pattern:
+            out = F.shiftleft(out, b - a).bitwiseOR(F.shiftrightunsigned("fp", 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")))
+        return out
+
+    upper = F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), value(p).alias("upper")) for k, p in enumerate(choices)])).alias("u")
+    sent = distinct.select("fp", "node", upper).select("fp", "node", "u.pattern", "u.upper")
+    counts = sent.groupBy("pattern", "upper").agg(F.count("*").alias("n"))
+    large = store.cut(counts.where(F.col("n") > SEGMENT).select("pattern", "upper", F.ceil(F.col("n") * 2 / SEGMENT).cast("int").alias("segments")))
+    # Of one of four blocks there are 4 * 65536 upper nodes, so the large ones are a small table, whatever the data.
+    dealt = sent.join(F.broadcast(large) if len(choices) == LIMIT + 1 else large, ["pattern", "upper"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("segments")).cast("int")
     other = F.explode(F.when(F.col("segments").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("segments") - 1)))
     dealt = dealt.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-    part = F.shiftleft(F.col("upper").cast("long"), 44) + F.shiftleft(F.least("own", "other").cast("long"), 22) + F.greatest("own", "other")
-    dealt = dealt.select(part.alias("part"), F.col("block").cast("long").alias("block"), "fp", "node")
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_link_batches, "a long, b long")
+    part = F.shiftleft(F.least("own", "other").cast("long"), 32) + F.greatest("own", "other")
+    dealt = dealt.select("pattern", "upper", part.alias("part"), "fp", "node")
+    return dealt.repartition("pattern", "upper", "part").sortWithinPartitions("pattern", "upper", "part").mapInArrow(_linker(choices), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

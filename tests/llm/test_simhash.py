@@ -64,7 +64,7 @@ def test_index_joins_all_that_are_near_and_no_others(step, monkeypatch):
     order = np.lexsort((simhash.gray_rank(codes), group))
     group, codes = group[order], codes[order]
     label = np.arange(len(codes))
-    for a, b in simhash.GrayIndex(group, codes).links(3):
+    for a, b in simhash.GrayIndex(group, codes, 16).links(3):
         label = simhash.merge(label, a, b)
     fps = dict(enumerate(codes.tolist()))
     want = brute_components(fps, [(a, b) for a, b in near(fps) if group[a] == group[b]])
@@ -77,9 +77,41 @@ def test_gray_neighbours_differ_in_one_bit():
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(ordered, ordered[1:], strict=False))
 
 
-@pytest.mark.parametrize("segment", [8, 16384])
-def test_links_over_several_tasks(spark, segment, monkeypatch):
+def test_whole_groups_are_dropped():
+    """Comparisons of a member of one upper node hardly grow with the members."""
+    rng = np.random.default_rng(6)
+    looked = {}
+    for n in (2000, 16000):
+        codes = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        codes = codes[np.argsort(simhash.gray_rank(codes))]
+        index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes, 16)
+        assert sum(len(a) for a, _ in index.links(3)) < 20
+        looked[n] = index.pairs / len(codes)
+    assert looked[16000] < 3 * looked[2000] and looked[16000] < 16000 / 16  # eight times the members
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_all_near_pairs_share_a_pattern(blocks):
+    rng = random.Random(blocks)
+    choices = simhash.patterns(blocks)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), 3))
+        shared = 0
+        for p in choices:
+            a, b = (int(simhash.arranged(np.array([c], np.uint64), p)[0]) for c in (x, y))
+            assert a.bit_count() == x.bit_count() and (a ^ b).bit_count() == 3
+            shared += a >> (64 - simhash.shared_bits(p)) == b >> (64 - simhash.shared_bits(p))
+        assert shared
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [4, 4, 4, 5, 7]
+
+
+@pytest.mark.parametrize("segment,members", [(8, 4096), (16384, 4096), (8, 0)])
+def test_links_over_several_tasks(spark, segment, members, monkeypatch):
     monkeypatch.setattr(simhash, "SEGMENT", segment)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    if not members:
+        monkeypatch.setattr(simhash, "blocks_for", lambda n: 5)
     rng = random.Random(segment)
     fps = {}
     for _ in range(20):
