@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .text_block import TextBlock, blocks, mixed
 
 BITS, TAIL, LENGTH = 18, 3, 0.3
@@ -30,7 +31,7 @@ GAP = 0.1
 def features(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value) of each feature that isn't 0, by text."""
     size = np.uint64((1 << BITS) - 1)
-    tails = mixed(block.keys(np.maximum(block.first, block.last - TAIL), block.last) + np.uint64(TAIL))
+    tails = mixed(mixed(block.keys(np.maximum(block.first, block.last - TAIL), block.last)) + np.uint64(TAIL))
     again = np.flatnonzero((block.hash[1:] == block.hash[:-1]) & (block.text[1:] == block.text[:-1])) + 1
     size_of = block.last - block.first
     again = again[(size_of[again] == size_of[again - 1]) & block.equal(block.first[again], block.first[again - 1], size_of[again])]
@@ -106,9 +107,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     # The smallest hashes of a grade: a sample of bounded size, the same in each run.
     some = None
     for g in sorted(share):
-        part = rated.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(PER_GRADE)
+        # Few more than that many by the count of the grade, so no task sorts more; if these are too few (an id that repeats), all are sorted.
+        of_grade = rated.where(F.col("grade") == g).select("id", "grade", F.xxhash64("id").alias("h"))
+        few = of_grade.where(F.col("h") <= F.lit(min(2**63 - 1, int(min(1.0, (2 * PER_GRADE + 1000) / share[g]) * 2**64) - 2**63)))
+        part = (few if share[g] <= PER_GRADE or few.count() >= PER_GRADE else of_grade).orderBy("h", "id").limit(PER_GRADE).drop("h")
         some = part if some is None else some.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("id"), store.col(text_col).alias("text"))
     chosen = rows.join(F.broadcast(some.dropDuplicates(["id"])), "id").select("id", "text", "grade")
     kind = chosen.schema["id"].dataType.simpleString()
     found = chosen.mapInArrow(_featured, f"doc_id {kind}, buckets binary, values binary, grade int").collect()
@@ -146,7 +150,7 @@ def score_documents(docs: DataFrame, model: Model | None, cut: float = 0.5, id_c
     Null text counts as empty; it is scored by its length. Without a model the two numbers are null and all rows are
     kept. Repeated rows get the same numbers. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("doc_id"), store.col(text_col).alias("text"))
     if model is None:
         nothing = F.lit(None).cast("double")
         return rows.select(F.col("doc_id").alias(id_col), nothing.alias("expected_grade"), nothing.alias("tail_prob"), F.lit(True).alias("kept"))
@@ -163,15 +167,15 @@ def select_documents(docs: DataFrame, model: Model | None, cut: float = 0.5, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, block in blocks(batch.column(names.index(text_col))):
+            for _, _, block in blocks(batch.column(at)):
                 text, bucket, value = features(block)
                 found.append(block.per_text(text, value * model.weights[bucket]))
             if found:
                 kept = model.tails(np.concatenate(found))[:, -1] >= cut
                 yield batch.filter(pa.array(kept))
 
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    at, plain = docs.columns.index(text_col), store.numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

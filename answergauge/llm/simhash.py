@@ -349,8 +349,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if total == ids:  # an id says which row
         keys = stays.select(F.col("id").alias("key"))
         return store.marked(docs, store.col(id_col)).join(keys.hint("merge"), "key", "left_semi").select("row.*")
-    name = store.unused(docs.columns, "fp")
-    with_fp = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col), name), StructType([*docs.schema.fields, StructField(name, LongType())]))
-    key = store.name_of(store.col(name), store.col(id_col))
-    each = with_fp.select(key.alias("key"), F.struct(*map(store.col, docs.columns)).alias("row"))
-    return store.pick(each, stays.select(store.name_of(F.col("fp"), F.col("id")).alias("key")))
+    plain = store.numbered(docs)
+    with_fp = plain.mapInArrow(_with_fingerprint(docs.columns.index(text_col), "fp"), StructType([*plain.schema.fields, StructField("fp", LongType())]))
+    key = store.name_of(F.col("fp"), F.col(f"c{docs.columns.index(id_col)}"))
+    row = F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return store.pick(with_fp.select(key.alias("key"), row.alias("row")), stays.select(store.name_of(F.col("fp"), F.col("id")).alias("key")))

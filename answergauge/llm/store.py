@@ -55,12 +55,9 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def unused(columns: list[str], name: str) -> str:
-    """A column name that columns don't have."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ...: functions over batches take no names with a dot, and these clash with none."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
 
 def marked(docs: DataFrame, key: Column, **others: Column) -> DataFrame:

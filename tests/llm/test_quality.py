@@ -131,10 +131,50 @@ def test_classifier_on_held_out_documents(spark):
     assert np.mean([round(r.expected_grade) == g for g, r in held]) > 0.9
     again = quality_classifier.train(docs.repartition(5), ratings, 3)
     assert (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
+    odd = docs.withColumnRenamed("x", "a.b") if "x" in docs.columns else docs.withColumnRenamed("score", "a.b")
+    assert quality_classifier.select_documents(odd, model).schema == odd.schema
     kept = quality_classifier.select_documents(docs, model)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def plain_features(text):
+    """Features by a plain loop: named instead of hashed."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    found = {}
+    for k, word in enumerate(words):
+        for name in (("word", word), ("tail", word.encode()[-3:])):
+            found[name] = found.get(name, 0) + 1
+        if k and words[k - 1] == word:
+            found["again"] = found.get("again", 0) + 1
+    out = {name: (n / len(words)) ** 0.5 for name, n in found.items()}
+    return out | {("length", min(int(np.log2(1 + len(words))), 20)): quality_classifier.LENGTH}
+
+
+def test_features_and_scores_equal_plain_loops(monkeypatch):
+    """Scores of a random model by dictionaries of named features; few texts, so hardly two names share a bucket."""
+    rng = random.Random(6)
+    texts = TEXTS + [" ".join(rng.choices(["a", "b", "ab ab", "longerword", "é" * 5, "x"], k=rng.randint(1, 30))) for _ in range(30)]
+    (found,) = [quality_classifier.features(b) for _, _, b in text_block.blocks(pa.array(texts, pa.string()))]
+    text, bucket, value = found
+    of_name = {}
+    for i, t in enumerate(texts):
+        mine = dict(zip(bucket[text == i].tolist(), value[text == i].tolist(), strict=True))
+        want = plain_features(t)
+        assert np.allclose(sorted(mine.values()), sorted(want.values()))
+        for b, v in mine.items():
+            of_name.setdefault(b, set()).add(frozenset(n for n, x in want.items() if abs(x - v) < 1e-9))
+    names = {b: frozenset.intersection(*s) for b, s in of_name.items()}
+    assert all(names.values())  # each bucket is one name throughout
+    weights = np.random.default_rng(1).normal(size=1 << quality_classifier.BITS).astype(np.float32)
+    model = quality_classifier.Model(weights, np.array([-0.4, 0.9]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    (out,) = quality_classifier._scored(model)(iter([batch]))
+    for i, r in enumerate(out.to_pylist()):
+        score = sum(v * weights[b] for b, v in zip(bucket[text == i], value[text == i], strict=True))
+        tails = [1 / (1 + np.exp(-(score - c))) for c in model.thresholds]
+        assert abs(r["expected_grade"] - sum(tails)) < 1e-6 and abs(r["tail_prob"] - tails[1]) < 1e-6
+
+
 def test_fit_follows_the_slope_of_the_likelihood():
     """At the end of the fit no small change of a weight or threshold makes the ratings much more likely."""
     rng = np.random.default_rng(0)
