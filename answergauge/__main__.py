@@ -21,7 +21,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def scored(rows: DataFrame, scorer: str) -> DataFrame:
     """id, score by a scorer's name (lexical, projection, corrected), "published", or a Parquet folder of id, score."""
     if scorer == "published":
-        return corpus.last_by_id(rows.select("id", "score", "pos")).select("id", "score")
+        return corpus.latest(rows)
     if scorer == "lexical":
         return score.LEXICAL_SCORER.apply(rows).select("id", "score")
     if scorer in ("projection", "corrected"):
@@ -49,10 +49,13 @@ def config(a: argparse.Namespace) -> correct.DetectorConfig:
 def pull(spark, a) -> int:
     spark.dataSource.register(paged.PagedRounds)
     options = {"url": a.url, "max": str(a.most)} | ({"intent": a.intent} if a.intent else {})
-    rows = corpus.dedup_first(spark.read.format("paged_rounds").options(**options).load())
-    rows.write.mode("overwrite").parquet(a.out)
+    pages = spark.read.format("paged_rounds").options(**options, keep="true").load().persist()
+    rows, error = paged.up_to_the_end(pages)
+    corpus.dedup_first(rows).write.mode("overwrite").parquet(a.out)
     say(group.summarise(spark.read.parquet(a.out)))
-    return 0
+    if error:
+        print(f"  stopped: {error}")
+    return int(bool(error))
 
 
 def corpus_(spark, a) -> int:
@@ -74,11 +77,13 @@ def subset(spark, a) -> int:
 def gate(spark, a) -> int:
     rows = load(spark, a.corpus)
     candidate, reference = scored(rows, a.scorer), scored(rows, a.reference)
-    groups = gates.gate3_groups(gates.join_scores(rows, candidate, reference), a.pool, a.min_group)
+    one, two, groups = gates.measured(rows, candidate, reference, score.LEXICAL_SCORER.score, a.pool, a.min_group)
+    three = gates.gate3(groups)
+    show(reports.first_gates_lines(one, two, three))
     show(reports.gate_lines(groups))
-    say(gates.gate3(groups))
-    made = gates.run_gates(rows, candidate, reference, score.LEXICAL_SCORER.score, a.pool, a.min_group)
+    made = gates.verdict(one, two, three, groups)
     say(made)
+    show(reports.verdict_lines(made))
     return 0 if made.first().activates else 1
 
 
@@ -136,7 +141,12 @@ def verify(spark, a) -> int:
     bounds = reports.verify_bounds(scored(rows, "projection"), scored(rows, "corrected"))
     say(bounds)
     b = bounds.first()
-    return int(bool(differ or b.raised or b.beyond))
+    plain = rows.select("id", correct.analyse_plain(F.col("ground_truth"), F.col("miner_answer")).alias("correction"))
+    unlike = reports.compare_corrections(reports.with_correction(rows).select("id", "correction"), plain)
+    fields = unlike.count()
+    print(f"  fields of corrections in which the two implementations differ: {fields}")
+    unlike.orderBy("id", "field").show(20, False)
+    return int(bool(differ or b.raised or b.beyond or fields))
 
 
 def registry(spark, a) -> int:

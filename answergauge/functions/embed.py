@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,8 @@ FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
 SEED, LCG_MUL, LCG_ADD = 0xDEADBEEFCAFE1337, 6364136223846793005, 1442695040888963407
 LONGEST_WORD, LONGEST_PIECE = 200, 48
 MASK = (1 << 64) - 1
-_WORD = re.compile(r"[^\W_]+")
+#: Letters (all alphabetic characters, vowel signs too) and digits, as in the text functions.
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def words(text: str) -> list[str]:

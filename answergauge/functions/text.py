@@ -64,9 +64,11 @@ def head_bytes(text: Column, size: int) -> Column:
     return F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, size - k).cast("string")) for k in range(4)])
 
 
-def is_refusal(text: Column, markers: tuple[str, ...] = REFUSALS) -> Column:
-    """Whether a marker stands in the first REFUSAL_WINDOW bytes. Markers are ASCII: a cut character is part of none."""
-    head = lower_ascii(head_bytes(text, REFUSAL_WINDOW))
+def is_refusal(text: Column, markers: tuple[str, ...] = REFUSALS, window: int = REFUSAL_WINDOW) -> Column:
+    """Whether a marker stands in the first window bytes. Markers are ASCII: a cut character is part of none."""
+    if not markers:
+        return F.lit(False)
+    head = lower_ascii(head_bytes(text, window))
     return reduce(lambda a, b: a | b, [head.contains(m) for m in markers])
 
 
@@ -81,6 +83,18 @@ def pct(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.lit(100.0) * a, b), F.lit(0.0))
 
 
+def general(value: Column, digits: int = 8) -> Column:
+    """So many significant digits without zeros at the end; with a power of ten below 0.0001 and where there are more places."""
+    shown = F.format_string(f"%.{digits - 1}e", value)
+    power = F.regexp_extract(shown, "e(.*)$", 1).cast("int")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    far = F.concat(bare(F.regexp_extract(shown, "^([^e]*)e", 1)), F.regexp_extract(shown, "(e.*)$", 1))
+    near = F.lit(None).cast("string")
+    for k in range(-4, digits):
+        near = F.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", value))).otherwise(near)
+    return F.coalesce(near, far)
+
+
 def trim_float(value: Column) -> Column:
     """Six decimals without zeros at the end."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), "\\.$", "")

@@ -110,8 +110,8 @@ def analyse_one(truth: str | None, answer: str | None, cfg: DetectorConfig) -> d
     return out
 
 
-def analyse(truth: Column, answer: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
-    """The correction of each row, a struct; coverages are null where nothing was checked."""
+def analyse_plain(truth: Column, answer: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
+    """analyse() by analyse_one(), a row at a time: the second implementation, to hold the first against."""
 
     @F.pandas_udf(schema.CORRECTION)
     def run(truths: pd.Series, answers: pd.Series) -> pd.DataFrame:
@@ -120,6 +120,56 @@ def analyse(truth: Column, answer: Column, cfg: DetectorConfig = DetectorConfig(
     return run(truth, answer)
 
 
+def detect(truth: Column, answer: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
+    """What weigh() needs of a pair, whatever the weights: blank, gt_refused, refused, and counts of figures and identifiers.
+
+    Python sees only pairs that can have any of them: no blank answer, no refusal as the truth, a digit in the truth.
+    """
+
+    @F.pandas_udf(schema.DETECTED)
+    def run(truths: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(truths), 4), np.int32)
+        for k, (t, a) in enumerate(zip(truths, answers, strict=True)):
+            if t is not None and a is not None:
+                out[k] = _counts(t.encode(), a.encode(), cfg)
+        return pd.DataFrame(out, columns=schema.DETECTED.names)
+
+    blank, gt_refused = text.is_blank(answer), text.is_refusal(truth, cfg.markers, cfg.refusal_window)
+    scanned = ~blank & ~gt_refused & F.coalesce(truth, F.lit("")).rlike("[0-9]")
+    counts = run(F.when(scanned, truth), F.when(scanned, answer))
+    return F.struct(blank.alias("blank"), gt_refused.alias("gt_refused"), text.is_refusal(answer, cfg.markers, cfg.refusal_window).alias("refused"), counts.alias("counts"))
+
+
+def _counts(truth: bytes, answer: bytes, cfg: DetectorConfig) -> tuple[int, int, int, int]:
+    gt_ids, ma_ids = scan.identifiers(truth), scan.identifiers(answer)
+    asked = [g for g in gt_ids if cfg.check_dates or g.kind != "date"]
+    hits = sum(any(same_identifier(g, m, cfg) for m in ma_ids) for g in asked)
+    return *numeric_verdict(scan.numbers(truth, gt_ids), scan.numbers(answer, ma_ids), cfg), hits, len(asked)
+
+
+def weigh(found: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
+    """The correction of what detect() found, in float32 steps; coverages are null where nothing was checked."""
+    f32 = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("float")
+    share = lambda a, b: F.when(b > 0, f32(f32(a) / f32(b)))
+    zero = f32(0)
+    counts = found["counts"]
+    looked = ~found["blank"] & ~found["gt_refused"]
+    ident_coverage = F.when(looked, share(counts["hits"], counts["asked"]))
+    numeric_coverage = F.when(looked, share(counts["checked"] - counts["against"], counts["checked"]))
+    numeric = F.when(looked & (counts["checked"] > 0), zero - f32(cfg.numeric_weight) * share(counts["against"], counts["checked"])).otherwise(zero)
+    ident = F.when(ident_coverage.isNotNull(), zero - f32(cfg.ident_weight) * (f32(1) - ident_coverage)).otherwise(zero)
+    refusal = F.when(looked & found["refused"], zero - f32(cfg.refusal_weight)).otherwise(zero)
+    total = F.least(zero, F.greatest(zero - f32(cfg.max_correction), numeric + ident + refusal))
+    parts = {"total": total, "numeric": numeric, "ident": ident, "refusal": refusal, "gt_refused": ~found["blank"] & found["gt_refused"], "numeric_coverage": numeric_coverage, "ident_coverage": ident_coverage}
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def analyse(truth: Column, answer: Column, cfg: DetectorConfig = DetectorConfig()) -> Column:
+    """The correction of each row, a struct; coverages are null where nothing was checked."""
+    # Within a lambda what was detected is one value, not as many expressions as it is used.
+    return F.get(F.transform(F.array(detect(truth, answer, cfg)), lambda d: weigh(d, cfg)), F.lit(0))
+
+
 def apply(baseline: Column, total: Column) -> Column:
     """The corrected score: added in float32, kept within [0, 1]."""
     return vectors.clamp01((baseline.cast("float") + total.cast("float")).cast("float").cast("double")).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergauge.functions import text
-from answergauge.sources.corpus import last_by_id
+from answergauge.sources.corpus import latest
 
 from . import group, stats
 
@@ -21,7 +21,7 @@ def _status(defined: Column, passed: Column) -> Column:
 
 def structural_pairs(rows: DataFrame) -> DataFrame:
     """intent_id, id, question, ground_truth, cross_truth, cross_intent: the first usable row of each intent, and the
-    truth of the next intent (the first, after the last). A single intent has no other: it gives no pair."""
+    truth of the next intent (the first, after the last). A single intent has no other: it gives no pair (measured() raises)."""
     usable = rows.where((text.byte_length(F.col("ground_truth")) >= TRUTH_BYTES) & (text.byte_length(F.col("question")) >= QUESTION_BYTES))
     first = usable.groupBy("intent_id").agg(F.min_by(F.struct("id", "question", "ground_truth"), "pos").alias("r")).select("intent_id", "r.*")
     order, every = Window.orderBy("intent_id"), Window.orderBy("intent_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -56,8 +56,8 @@ def gate2(scores: DataFrame, score: str = "score") -> DataFrame:
 
 def join_scores(rows: DataFrame, candidate: DataFrame, reference: DataFrame) -> DataFrame:
     """rows that both have scored, with candidate and reference; of repeated ids the last score counts."""
-    a = candidate.where("score is not null").select("id", F.col("score").alias("candidate"))
-    b = reference.where("score is not null").select("id", F.col("score").alias("reference"))
+    a = latest(candidate).withColumnRenamed("score", "candidate")
+    b = latest(reference).withColumnRenamed("score", "reference")
     return rows.drop("candidate", "reference").join(a, "id").join(b, "id")
 
 
@@ -89,9 +89,9 @@ def gate3(groups: DataFrame) -> DataFrame:
 
 
 def gate3_reason(groups: DataFrame) -> DataFrame:
-    """One row: reason, "intent:rho" of each group that is defined, in order. There are as many as groups."""
+    """One row: reason, "intent:rho" of each group that is defined, in the order of gate3_order(). There are as many as groups."""
     rank = F.when(F.col("status") == "FAIL", 0).otherwise(1)
-    key = F.struct(rank.alias("a"), F.col("rho").alias("b"), F.col("intent_id").alias("c"), F.col("epoch").alias("d"), F.format_string("%s:%.6f", "intent_id", "rho").alias("t"))
+    key = F.struct(rank.alias("a"), F.col("rho").alias("b"), F.col("intent_id").alias("c"), F.col("epoch").alias("d"), F.concat("intent_id", F.lit(":"), text.general(F.col("rho"))).alias("t"))
     kept = F.array_sort(F.collect_list(F.when(F.col("rho").isNotNull(), key)))
     return groups.agg(F.concat_ws(" ", F.transform(kept, lambda x: x["t"])).alias("reason"))
 
@@ -99,13 +99,20 @@ def gate3_reason(groups: DataFrame) -> DataFrame:
 def verdict(one: DataFrame, two: DataFrame, three: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: the status of each gate, activates, and reason, that of the first gate that fails (else empty)."""
     # Each of these has one row.
-    both = one.select(F.col("status").alias("gate1"), "mean_self", "mean_cross", "share").join(two.select(F.col("status").alias("gate2"), "spread")).join(
+    both = one.select(F.col("status").alias("gate1"), "mean_self", "mean_cross", "share", "passed", "pairs").join(two.select(F.col("status").alias("gate2"), "spread")).join(
         three.select(F.col("status").alias("gate3"))
     ).join(gate3_reason(groups))
+    # How a rejection is worded.
+    unlike = F.format_string("structural validation failed: self-match (%.4f) did not beat unrelated cross-match (%.4f)", "mean_self", "mean_cross")
+    weak = F.format_string(
+        f"structural validation weak: only %d of %d intent pairs ranked a matching answer above an unrelated one (%.0f%%, {100 * SELF_SHARE:.0f}%% required); means were self %.4f vs cross %.4f",
+        "passed", "pairs", 100 * F.col("share"), "mean_self", "mean_cross",
+    )
     reason = (
-        F.when(F.col("gate1") == "FAIL", F.format_string("gate 1: self %.4f, cross %.4f, share %.4f", "mean_self", "mean_cross", "share"))
-        .when(F.col("gate2") == "FAIL", F.format_string("gate 2: spread %.4f", "spread"))
-        .when(F.col("gate3") == "FAIL", F.concat(F.lit("gate 3: "), F.col("reason")))
+        F.when((F.col("gate1") == "FAIL") & (F.col("mean_self") <= F.col("mean_cross")), unlike)
+        .when(F.col("gate1") == "FAIL", weak)
+        .when(F.col("gate2") == "FAIL", F.format_string(f"candidate scores collapsed: stdev=%.4f <= threshold {DISPERSION:.4f}", "spread"))
+        .when(F.col("gate3") == "FAIL", F.concat(F.lit(f"rank agreement below threshold ({AGREEMENT:.2f}), got: map["), F.col("reason"), F.lit("]")))
         .otherwise("")
     )
     passes = (F.col("gate1") == "PASS") & (F.col("gate2") == "PASS") & (F.col("gate3") == "PASS")
@@ -114,8 +121,8 @@ def verdict(one: DataFrame, two: DataFrame, three: DataFrame, groups: DataFrame)
 
 def eligible(rows: DataFrame, canonical: DataFrame, candidate: DataFrame) -> DataFrame:
     """rows with canonical (above ELIGIBLE), candidate (null if it has none) and delta."""
-    found = rows.drop("canonical", "candidate").join(canonical.select("id", F.col("score").alias("canonical")), "id").where(F.col("canonical") > ELIGIBLE)
-    found = found.join(candidate.select("id", F.col("score").alias("candidate")), "id", "left")
+    high = latest(canonical).where(F.col("score") > ELIGIBLE).withColumnRenamed("score", "canonical")
+    found = rows.drop("canonical", "candidate").join(high, "id").join(latest(candidate).withColumnRenamed("score", "candidate"), "id", "left")
     return found.withColumn("delta", F.col("canonical") - F.col("candidate"))
 
 
@@ -135,7 +142,18 @@ def catches_by_intent(found: DataFrame) -> DataFrame:
 
 
 def run_gates(rows: DataFrame, candidate: DataFrame, reference: DataFrame, score, pooled: bool = True, least: int = 4) -> DataFrame:
-    """The verdict on a scorer: its scores, those it is held to, and a function that scores pairs of texts."""
-    scored = join_scores(rows, last_by_id(candidate, "id", "score"), last_by_id(reference, "id", "score"))
-    groups = gate3_groups(scored, pooled, least)
-    return verdict(gate1(score_pairs(structural_pairs(rows), score)), gate2(candidate), gate3(groups), groups)
+    """The verdict on a scorer: its scores, those it is held to, and a function that scores pairs of texts.
+
+    Fewer than two intents with usable texts are an error. Of repeated ids the last score counts, for each row that has the id.
+    """
+    one, two, groups = measured(rows, candidate, reference, score, pooled, least)
+    return verdict(one, two, gate3(groups), groups)
+
+
+def measured(rows: DataFrame, candidate: DataFrame, reference: DataFrame, score, pooled: bool = True, least: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the gates find: one row of gate 1, one of gate 2, and the groups of gate 3."""
+    pairs = structural_pairs(rows)
+    if pairs.isEmpty():
+        raise ValueError("gate 1 needs two intents at least with a question and a truth that are long enough")
+    groups = gate3_groups(join_scores(rows, candidate, reference), pooled, least)
+    return gate1(score_pairs(pairs, score)), gate2(rows.select("id").join(latest(candidate), "id")), groups

@@ -31,8 +31,10 @@ def rank_answers(rows: DataFrame, embedding: Callable[[str], Column] = embed.pro
 
 def score_rounds(rows: DataFrame, embedding: Callable[[str], Column] = embed.projection_embedding, cfg: DetectorConfig | None = DetectorConfig()) -> DataFrame:
     """id, score, error of each round."""
-    found = rank_answers(rows.select("id", *TEXTS), embedding, cfg)
-    return found.select("id", F.col("signals.composite").cast("double").alias("score"), F.lit(None).cast("string").alias("error"))
+    found = rank_answers(rows.select("id", *[c for c in ("pos",) if c in rows.columns], *TEXTS), embedding, cfg)
+    value = F.col("signals.composite").cast("double")
+    bad = value.isNull() | F.isnan(value)
+    return found.select("id", *[c for c in ("pos",) if c in rows.columns], F.when(~bad, value).alias("score"), F.when(bad, F.lit("the score isn't a number")).alias("error"))
 
 
 def score_missing(rows: DataFrame, table, scorer: Callable[[DataFrame], DataFrame], model_hash: str) -> DataFrame:

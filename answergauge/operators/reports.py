@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answergauge.functions import scan, text
+from answergauge.sources.corpus import latest
 
 from . import correct, gates
 from .correct import DetectorConfig
@@ -17,8 +20,8 @@ DELTA_CONSENSUS, DELTA_PROMOTE, ROUNDING = 0.15, 0.10, 1e-6
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """id, a, b, d (b - a) of the ids that both have scored."""
-    return a.select("id", F.col("score").alias("a")).join(b.select("id", F.col("score").alias("b")), "id").withColumn("d", F.col("b") - F.col("a"))
+    """id, a, b, d (b - a) of the ids that both have scored; of repeated ids the last score counts."""
+    return latest(a).withColumnRenamed("score", "a").join(latest(b).withColumnRenamed("score", "b"), "id").withColumn("d", F.col("b") - F.col("a"))
 
 
 def compare(diff: DataFrame) -> DataFrame:
@@ -46,10 +49,22 @@ def verify_bounds(base: DataFrame, corrected: DataFrame, most: float = 0.12) ->
     return diff.agg(F.count("*").alias("rows"), F.count_if(F.col("d") > ROUNDING).alias("raised"), F.count_if(-F.col("d") > most + ROUNDING).alias("beyond"))
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where they come from fewer files than that: scanning is the costly part."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def with_correction(rows: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """rows with correction, and corrected where they have a baseline."""
-    found = rows.withColumn("correction", correct.analyse(F.col("ground_truth"), F.col("miner_answer"), cfg))
-    return found.withColumn("corrected", correct.apply(F.col("baseline"), F.col("correction.total"))) if "baseline" in rows.columns else found
+    found = spread_out(rows).withColumn("detected__", correct.detect(F.col("ground_truth"), F.col("miner_answer"), cfg))
+    return weighed(found, cfg).drop("detected__")
+
+
+def weighed(detected: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Rows with detected__ (see correct.detect()), with correction, and corrected where they have a baseline."""
+    found = detected.withColumn("correction", correct.weigh(F.col("detected__"), cfg))
+    return found.withColumn("corrected", correct.apply(F.col("baseline"), F.col("correction.total"))) if "baseline" in found.columns else found
 
 
 def silence_profile(corrected: DataFrame) -> DataFrame:
@@ -76,9 +91,19 @@ def gate_change(before: DataFrame, after: DataFrame) -> DataFrame:
 def simulate(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), pooled: bool = True, least: int = 4) -> DataFrame:
     """One row for a setting: gates 2 and 3 with the correction, rows that it fired on, catches.
 
-    rows: rounds with baseline and reference.
+    rows: rounds with baseline and reference. They are scanned once.
     """
-    done = with_correction(rows, cfg)
+    return _simulated(_detected(rows, cfg), cfg, pooled, least)
+
+
+def _detected(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """What a setting needs of rows, scanned and kept: weights and clamps are tried on it without another look at the texts."""
+    found = spread_out(rows).withColumn("detected__", correct.detect(F.col("ground_truth"), F.col("miner_answer"), cfg))
+    return found.select("intent_id", "epoch_id", "baseline", "reference", "detected__").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _simulated(detected: DataFrame, cfg: DetectorConfig, pooled: bool = True, least: int = 4) -> DataFrame:
+    done = weighed(detected, cfg)
     scored = done.withColumn("candidate", F.col("corrected"))
     three = gates.gate3(gates.gate3_groups(scored, pooled, least)).select("mean_rho", "min_rho", "min_intent", "failing", F.col("status").alias("gate3"))
     two = gates.gate2(scored, "corrected").select("spread", F.col("status").alias("gate2"))
@@ -88,8 +113,15 @@ def simulate(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), pooled: bo
 
 
 def sweep(rows: DataFrame, configs: dict[str, DetectorConfig]) -> DataFrame:
-    """simulate() for each setting, by name."""
-    return reduce(DataFrame.unionByName, [simulate(rows, c).select(F.lit(name).alias("setting"), "*") for name, c in configs.items()])
+    """simulate() for each setting, by name. Settings that differ in weights and the clamp alone share one scan of the texts."""
+    seen: dict[DetectorConfig, DataFrame] = {}
+    found = []
+    for name, c in configs.items():
+        key = replace(c, max_correction=0.0, numeric_weight=0.0, ident_weight=0.0, refusal_weight=0.0)
+        if key not in seen:
+            seen[key] = _detected(rows, c)
+        found.append(_simulated(seen[key], c).select(F.lit(name).alias("setting"), "*"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def config_warnings(cfg: DetectorConfig) -> list[str]:
@@ -138,6 +170,33 @@ def compare_corrections(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("id", F.explode(F.array_compact(differs)).alias("field"))
 
 
+def first_gates_lines(one: DataFrame, two: DataFrame, three: DataFrame) -> DataFrame:
+    """line: the report on gates 1 and 2 and the sums of gate 3 (a row each of gate1(), gate2(), gate3())."""
+    first = one.select(
+        F.concat(F.lit("[1] structural self-match: "), "status"),
+        F.format_string("    self-match %.4f, cross-match %.4f, margin %+.4f", "mean_self", "mean_cross", F.col("mean_self") - F.col("mean_cross")),
+        F.format_string(f"    %d of %d pairs right (%.0f%%, {100 * gates.SELF_SHARE:.0f}%% needed)", "passed", "pairs", 100 * F.col("share")),
+    )
+    second = two.select(
+        F.concat(F.lit("[2] score dispersion: "), "status"),
+        F.format_string(f"    spread %.4f, has to exceed {gates.DISPERSION:.4f}, margin %+.4f", "spread", F.col("spread") - gates.DISPERSION),
+        F.format_string("    range %s to %s over %d rows", F.coalesce(F.format_string("%.4f", "low"), F.lit("-")), F.coalesce(F.format_string("%.4f", "high"), F.lit("-")), "n"),
+    )
+    third = three.select(
+        F.concat(F.lit("[3] rank agreement: "), "status"),
+        F.format_string(f"    threshold {gates.AGREEMENT:.2f}, mean %+.4f, %d groups measured, %d not rankable", "mean_rho", "defined", "undefined"),
+        F.when(F.col("defined") > 0, F.format_string("    weakest %s at %+.4f, headroom %+.4f", "min_intent", "min_rho", "headroom")),
+        F.when(F.col("constant_candidate") > 0, F.format_string("    warning: %d groups with one score for all answers", "constant_candidate")),
+    )
+    lines = [part.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in part.columns])).alias("at", "line")).withColumn("gate", F.lit(k)) for k, part in enumerate((first, second, third))]
+    return reduce(DataFrame.unionByName, lines).where("line is not null").orderBy("gate", "at").select("line")
+
+
+def verdict_lines(found: DataFrame) -> DataFrame:
+    """line: the verdict, and why."""
+    return found.select(F.when(F.col("activates"), "verdict: all three gates pass").otherwise(F.concat(F.lit("verdict: rejected. "), F.col("reason"))).alias("line"))
+
+
 def gate_lines(groups: DataFrame) -> DataFrame:
     """line: the report on gate 3, a line for each group, failures first."""
     epoch = F.when(F.col("epoch") == -1, "pooled").otherwise(F.col("epoch").cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,9 @@ def breakdown(relevance: Column, correctness: Column, truth: Column, answer: Col
 class Scorer:
     """A scorer: its name, a hash of what it does, and a function from (question, truth, answer) columns to a score.
 
-    A row whose score fails, or isn't a number, has an error and no score; other rows aren't touched.
+    The function's column is the score, or a struct of score and error (as by_row() makes). A row whose score fails, or
+    isn't a number, has an error and no score; other rows aren't touched. An expression that raises in the JVM ends the job; what
+    may raise goes through by_row().
     """
 
     name: str
@@ -67,10 +70,28 @@ class Scorer:
     score: Callable[[Column, Column, Column], Column]
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        s = self.score(F.col("question"), F.col("ground_truth"), F.col("miner_answer")).cast("double")
-        scored = rows.withColumn("score__", F.when(text.is_blank_unicode(F.col("miner_answer")), F.lit(0.0)).otherwise(s))
+        given = rows.withColumn("given__", self.score(F.col("question"), F.col("ground_truth"), F.col("miner_answer")))
+        parted = given.schema["given__"].dataType.typeName() == "struct"
+        s, error = (F.col("given__.score"), F.col("given__.error")) if parted else (F.col("given__"), F.lit(None))
+        scored = given.withColumn("score__", F.when(text.is_blank_unicode(F.col("miner_answer")), F.lit(0.0)).otherwise(s.cast("double")))
         bad = F.col("score__").isNull() | F.isnan("score__")
-        return scored.select("id", F.when(~bad, F.col("score__")).alias("score"), F.when(bad, F.lit("the score isn't a number")).alias("error"))
+        return scored.select("id", F.when(~bad, F.col("score__")).alias("score"), F.when(bad, F.coalesce(error.cast("string"), F.lit("the score isn't a number"))).alias("error"))
+
+
+def by_row(score: Callable[[str, str, str], float]) -> Callable[[Column, Column, Column], Column]:
+    """For Scorer: a Python function of (question, truth, answer) texts; what it raises is that row's error."""
+
+    @F.pandas_udf("score double, error string")
+    def run(questions: pd.Series, truths: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        out = []
+        for texts in zip(questions, truths, answers, strict=True):
+            try:
+                out.append((float(score(*(t or "" for t in texts))), None))
+            except Exception as e:  # whatever the scorer raises, the other rows go on
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["score", "error"])
+
+    return run
 
 
 #: Lexical match with the truth, and length: needs no weights.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answergauge.functions import embed, scan, text, vectors
-from answergauge.operators import correct, gates, group, reports, score, stats
+from answergauge.operators import correct, gates, group, rank, reports, score, stats
 from answergauge.sources import corpus
 
 from .fixtures import oracle, view
@@ -75,7 +75,10 @@ def gate3_summary(spark, d):
     return found.select("groups", "defined", "failing", "undefined", r6("mean_rho").alias("mean_rho"), "min_rho", "min_intent", r6("headroom").alias("headroom"), "status")
 
 
-@_query(oracle("sc", _POOLED + """|> select string_agg(format('{}:{:.6f}', intent_id, rho), ' ' order by case when status = 'FAIL' then 0 else 1 end, rho, intent_id) as reason from gs where rho is not null"""))
+_REASON = "string_agg(format('{}:{:.8g}', intent_id, rho), ' ' order by case when status = 'FAIL' then 0 else 1 end, rho, intent_id)"
+
+
+@_query(oracle("sc", _POOLED + f"|> select {_REASON} as reason from gs where rho is not null"))
 def rejection_reason(spark, d):
     return gates.gate3_reason(gates.gate3_groups(_scored(spark, d), True).withColumn("rho", r6("rho")))
 
@@ -122,11 +125,10 @@ def epoch_band_trend(spark, d):
 
 def _eligible(spark, d):
     rows = view(spark, d, "sc")
-    half = rows.where("pos % 11 <> 0").select("id", F.col("cand").alias("score"))  # some rows have no candidate score
-    return gates.eligible(rows.select("id", "intent_id", "miner_slug"), rows.select("id", F.col("canonical").alias("score")), half)
+    return gates.eligible(rows.select("id", "intent_id", "miner_slug"), rows.select("id", F.col("canonical").alias("score")), rows.select("id", F.col("cand").alias("score")))
 
 
-_CATCH = """el as (select id, intent_id, canonical, case when pos % 11 <> 0 then cand end as candidate from sc where canonical > 0.70),
+_CATCH = """el as (select id, intent_id, canonical, cand as candidate from sc where canonical > 0.70),
     ca as (select *, canonical - candidate as delta from el where canonical - candidate >= 0.10)"""
 
 
@@ -147,10 +149,10 @@ def catch_rate(spark, d):
 
 def _two(spark, d):
     rows = view(spark, d, "sc")
-    return rows.select("id", F.col("canonical").alias("score")), rows.where("pos % 13 <> 0").select("id", F.col("cand").alias("score"))
+    return rows.select("id", F.col("canonical").alias("score")), rows.select("id", F.col("cand").alias("score"))
 
 
-_DIFF = "df as (select id, canonical as a, cand as b, cand - canonical as d from sc where pos % 13 <> 0)"
+_DIFF = "df as (select id, canonical as a, cand as b, cand - canonical as d from sc)"
 
 
 @_query(oracle("sc", _DIFF + """|> select count(*) as "rows", count(*) filter (where d = 0) as identical, count(*) filter (where d <> 0) as changed, round(max(abs(d)), 6) as max_abs, round(avg(abs(d)) filter (where d <> 0), 6) as mean_changed from df"""))
@@ -180,11 +182,20 @@ def dedup_first_by_id(spark, d):
     return corpus.dedup_first(rows)
 
 
-@_query(oracle("rounds", """|> select id, pos from rounds where pos % 4 <> 0"""))
+@_query(oracle("rounds", """|> select id, pos from rounds where score = 0"""))
 def cache_anti_join(spark, d):
+    """Rounds that have no score yet, published ones (above 0) being known."""
     rows = view(spark, d, "rounds")
-    known = rows.where("pos % 4 = 0").select("id")
-    return rows.select("id", "pos").join(known, "id", "left_anti")
+    known = rows.where("score > 0").select("id", "score")
+    return rows.select("id", "pos").join(corpus.latest(known).select("id"), "id", "left_anti")
+
+
+@_query(oracle("sc", """|> select id, cand as candidate, canonical as reference from sc where canonical > 0"""))
+def joined_scores(spark, d):
+    """Rounds with the scores of two scorers, the reference lacking those that it gave 0; each id is there twice, its last score counts."""
+    rows = view(spark, d, "sc")
+    again = rows.select("id", F.lit(0.99).alias("score"), F.lit(0).alias("seq")).unionByName(rows.select("id", F.col("cand").alias("score"), F.lit(1).alias("seq")))
+    return gates.join_scores(rows.select("id"), again, rows.where("canonical > 0").select("id", F.col("canonical").alias("score")))
 
 
 _TOKENS = "list_filter(list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: strlen(x) >= 2)"
@@ -256,6 +267,51 @@ def refusal_flags(spark, d):
     return view(spark, d, "claims").select("id", text.is_refusal(F.col("ground_truth")).alias("truth_refuses"), text.is_refusal(F.col("miner_answer")).alias("answer_refuses"))
 
 
+_FORMS = r"""
+forms as (select o_orderkey as k, o_orderkey % 12 as form, cast(o_custkey as {S}) as a, cast(o_orderkey % 97 as {S}) as b from orders),
+said as (select k, case form when 0 then concat('up to $', a, '.', b, ' million') when 1 then concat('~', a, 'e', cast(k % 4 as {S})) when 2 then concat('in ', a, ',', b, '0') when 3 then concat('loss of -', a, '.', b, '%')
+    when 4 then concat(b, 'bn') when 5 then concat('$ ', a, 'k') when 6 then concat('x', a, '.', b, 'E-2 t') when 7 then concat('-', a, ' thousand') when 8 then concat('no', a, ' mm') when 9 then concat(a, '_', b, ' units') when 10 then concat('year ', a, 'e+1%')
+    else 'none' end as t from forms)"""
+# The first number of a text, read by a pattern: digits with separators, a fraction, a power of ten, a percent sign or a word for a scale.
+_FIRST = r"""([0-9](?:[0-9]|[,_][0-9])*)(?:[.]([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?(?:(%)| ?([a-zA-Z]+))?"""
+
+
+@_query(f"""with {_FORMS.format(S='varchar')}, m as (select k, t, regexp_extract(t, '{_FIRST}', ['whole', 'part', 'power', 'pct', 'scale']) as r, regexp_extract(t, '^(.*?)[0-9]', 1) as head, regexp_matches(t, '[0-9]') as has from said),
+    v as (select k, head, has, r.pct = '%' as percent, lower(r.scale) as s, case when has then try_cast(regexp_replace(r.whole, '[,_]', '', 'g') || case when r.part <> '' then '.' || r.part else '' end as double) * pow(10, coalesce(try_cast(r.power as int), 0)) end as v from m)
+    select k, case when has then format('{{:.8g}}', v * case when s in ('k', 'thousand') then 1e3 when s in ('m', 'mm', 'mn', 'million') then 1e6 when s in ('b', 'bn', 'billion') then 1e9 when s in ('t', 'tn', 'trillion') then 1e12 else 1 end
+        * case when regexp_matches(head, '(^|[^a-zA-Z])-$') then -1 else 1 end) end as value, has and percent as percent, has and regexp_matches(head, '[$] *-?$') as currency from v""")
+def number_forms(spark, d):
+    """Numbers with separators, fractions, powers of ten, percent signs, words for scales and signs."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    rows = spark.sql(f"with {_FORMS.format(S='string')} select * from said".replace("from orders)", "from {orders})"), orders=orders)
+    first = F.get(scan.scan_numbers("t"), F.lit(0))
+    return rows.select("k", first.alias("n")).select("k", F.when(F.col("n").isNotNull(), text.general(F.col("n.value"))).alias("value"), F.coalesce("n.percent", F.lit(False)).alias("percent"), F.coalesce("n.currency", F.lit(False)).alias("currency"))
+
+
+_WHITE_SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_BLANKS = """blanks as (select o_orderkey as k, case o_orderkey % 7 when 0 then '' when 1 then concat(' ', chr(9), chr(10)) when 2 then concat(' ', chr(160)) when 3 then chr(12288) when 4 then concat(chr(8203), ' ')
+    when 5 then concat(chr(11), chr(12), chr(13)) else concat(' x', chr(160)) end as t from orders)"""
+
+
+@_query(f"with {_BLANKS} select k, regexp_full_match(t, '[ \\t\\n\\r\\v\\f]*') as blank, regexp_full_match(t, '[{_WHITE_SPACE}]*') as blank_unicode from blanks")
+def blank_forms(spark, d):
+    """White space of ASCII and of other scripts."""
+    rows = spark.sql(f"with {_BLANKS} select * from blanks".replace("from orders)", "from {orders})").replace("chr(8203)", "'\u200b'").replace("chr(12288)", "'\u3000'"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return rows.select("k", text.is_blank(F.col("t")).alias("blank"), text.is_blank_unicode(F.col("t")).alias("blank_unicode"))
+
+
+# Characters of two and three bytes before a refusal, so that it ends about the last byte that is looked at.
+_HEADS = "heads as (select o_orderkey as k, concat(repeat('é', 100 + cast(o_orderkey % 20 as int)), repeat('日', cast(o_orderkey % 7 as int)), case when o_orderkey % 2 = 0 then ' I CANNOT say' else ' Sorry, I say' end) as t from orders)"
+_HEX_REFUSED = " or ".join(f"contains(h, hex('{m.replace(chr(39), chr(39) * 2)}'))" for m in text.REFUSALS)
+
+
+@_query(f"with {_HEADS}, hx as (select k, substr(hex(encode(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), 1, 480) as h from heads) select k, ({_HEX_REFUSED}) as refuses from hx")
+def refusal_forms(spark, d):
+    """Refusals about the last byte that is looked at."""
+    rows = spark.sql(f"with {_HEADS} select * from heads".replace("from orders)", "from {orders})"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return rows.select("k", text.is_refusal(F.col("t")).alias("refuses"))
+
+
 @_query(oracle("claims", "|> select id, variant = 5 as blank, variant = 5 as blank_unicode from claims"))
 def blank_flags(spark, d):
     return view(spark, d, "claims").select("id", text.is_blank(F.col("miner_answer")).alias("blank"), text.is_blank_unicode(F.col("miner_answer")).alias("blank_unicode"))
@@ -373,21 +429,58 @@ def projection_embedding(spark, d):
     return rows.select("doc_id", F.size("v").alias("width"), F.round(vectors.l2_norm(F.col("v")), 5).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v0"))
 
 
-@_query()
+# The verdict on the lexical scorer, held to a reference made from the answers' lengths; scores are rounded, so ties are ties in both engines.
+_VERDICT = (
+    _PAIR_SCORES + ", " + "tq as" + _QT.removeprefix("tk as") + ", sx as (select *, " + _bm25("q", "a") + " as qa_, " + _bm25("t", "a") + " as ta_ from tq), sc as (select intent_id, 0::bigint as epoch_id, case when trim(miner_answer) = '' then 0.0 else round("
+    + _COMPOSITE.format(qa="qa_", ta="ta_", c="miner_answer") + ", 6) end as cand, strlen(miner_answer) % 101 / 101.0::double as canonical from sx), " + _POOLED
+)
+
+
+@_query(oracle("qa", _VERDICT + f""", g1 as (select round(avg(self_score), 6) as ms, round(avg(cross_score), 6) as mc, count(*) filter (where self_score > cross_score) as ok, count(*) as n from ps),
+    g2 as (select round(stddev_pop(cand), 6) as sd from sc), g3 as (select count(*) filter (where status = 'FAIL') as failing, count(rho) as defined, {_REASON} filter (where rho is not null) as got from gs),
+    st as (select *, case when ms > mc and ok / n >= 0.60 then 'PASS' else 'FAIL' end as gate1, case when sd > 0.05 then 'PASS' else 'FAIL' end as gate2, case when failing > 0 then 'FAIL' when defined = 0 then 'UNDEFINED' else 'PASS' end as gate3 from g1, g2, g3)
+    |> select gate1, gate2, gate3, gate1 = 'PASS' and gate2 = 'PASS' and gate3 = 'PASS' as activates, case
+        when gate1 = 'FAIL' and ms <= mc then format('structural validation failed: self-match ({{:.4f}}) did not beat unrelated cross-match ({{:.4f}})', ms, mc)
+        when gate1 = 'FAIL' then format('structural validation weak: only {{}} of {{}} intent pairs ranked a matching answer above an unrelated one ({{:.0f}}%, 60% required); means were self {{:.4f}} vs cross {{:.4f}}', ok, n, 100 * ok / n, ms, mc)
+        when gate2 = 'FAIL' then format('candidate scores collapsed: stdev={{:.4f}} <= threshold 0.0500', sd) when gate3 = 'FAIL' then 'rank agreement below threshold (0.60), got: map[' || got || ']' else '' end as reason from st"""))
 def gate_verdict(spark, d):
     rows = view(spark, d, "qa").withColumns({"epoch_id": F.lit(1).cast("long"), "score": F.lit(0.0)})
-    known = score.LEXICAL_SCORER.apply(rows).select("id", "score")
+    known = score.LEXICAL_SCORER.apply(rows).select("id", r6("score").alias("score"))
     reference = rows.select("id", (text.byte_length(F.col("miner_answer")) % 101 / 101.0).alias("score"))
-    return gates.run_gates(rows, known, reference, score.LEXICAL_SCORER.score)
+    one, two, groups = gates.measured(rows, known, reference, score.LEXICAL_SCORER.score)
+    rounded = groups.withColumn("rho", r6("rho"))
+    return gates.verdict(one.withColumns({c: r6(c) for c in ("mean_self", "mean_cross")}), two.withColumn("spread", r6("spread")), gates.gate3(rounded), rounded)
+
+
+def _plain_vector(name: str) -> Column:
+    """Bytes, words and one as a vector: an embedding that SQL has, too."""
+    return F.array(text.byte_length(F.col(name)).cast("double"), F.size(text.tokens(F.col(name))).cast("double"), F.lit(1.0))
+
+
+def _plain_cosine(a: str, b: str, words: dict[str, str]) -> str:
+    vector = lambda c: f"[strlen({c})::double, len({words[c]})::double, 1.0::double]"
+    return f"greatest(0, least(1, list_cosine_similarity({vector(a)}, {vector(b)})))"
+
+
+_SIGNALS = {c: w for c, w in (("question", "q"), ("ground_truth", "t"), ("miner_answer", "a"))}
+_RANKED = (
+    _QT + ", sg as (select id, trim(miner_answer) = '' as blank, " + _plain_cosine("question", "miner_answer", _SIGNALS) + " as relevance, " + _plain_cosine("ground_truth", "miner_answer", _SIGNALS) + " as correctness, "
+    + _bm25("t", "a") + " as lexical, 1 / (1 + exp(-(strlen(miner_answer) - 50) / 20.0)) as length from tk)|> select id, " + ", ".join(f"case when blank then 0 else round({c}, 4) end::double as {c}" for c in ("relevance", "correctness", "lexical", "length"))
+    + ", case when blank then 0 else round(least(1, greatest(0, 0.25 * relevance + 0.50 * correctness + 0.15 * lexical + 0.10 * length)), 4) end::double as composite from sg"
+)
+
+
+@_query(oracle("qa", _RANKED))
+def rank_answers(spark, d):
+    """The signals of answers, by an embedding that SQL has."""
+    found = rank.rank_answers(view(spark, d, "qa"), _plain_vector, None)
+    return found.select("id", *[F.round(F.col(f"signals.{c}").cast("double"), 4).alias(c) for c in ("relevance", "correctness", "lexical", "length", "composite")])
 
 
 @_query()
 def breakdown(spark, d):
-    rows = score.with_embeddings(view(spark, d, "qa"), ["question", "ground_truth", "miner_answer"], embed.projection_embedding)
-    rows = reports.with_correction(rows)
-    near = lambda a, b: vectors.cosine(F.col(f"{a}_vec"), F.col(f"{b}_vec"))
-    found = score.breakdown(near("question", "miner_answer"), near("ground_truth", "miner_answer"), F.col("ground_truth"), F.col("miner_answer"), F.col("correction.total").cast("double"))
-    return rows.select("id", found.alias("s")).select("id", "s.*")
+    """The signals of answers by the projection embedding, corrected."""
+    return rank.rank_answers(view(spark, d, "qa")).select("id", "signals.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,5 +22,7 @@ NUMBER = _struct(value=D, percent=B, currency=B, start=I, end=I)
 IDENT = _struct(kind=S, text=S, start=I, end=I)
 #: A correction; coverages are null where nothing was checked.
 CORRECTION = _struct(total=T.FloatType(), numeric=T.FloatType(), ident=T.FloatType(), refusal=T.FloatType(), gt_refused=B, numeric_coverage=T.FloatType(), ident_coverage=T.FloatType())
-#: Scores of one scorer; error is set where a row failed, and score is null there.
-SCORES = _struct(model_hash=S, id=S, score=D, error=S)
+#: Scores of one scorer; error is set where a row failed, and score is null there. batch and seq: the order of writing.
+SCORES = _struct(model_hash=S, id=S, score=D, error=S, batch=L, seq=L)
+#: What the detectors see in a pair: figures that the answer states differently, of those with a counterpart; identifiers found, of those asked for.
+DETECTED = _struct(against=I, checked=I, hits=I, asked=I)

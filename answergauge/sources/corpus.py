@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,13 @@ def last_by_id(rows: DataFrame, id_col: str = "id", order: str = "pos") -> DataF
     return rows.groupBy(id_col).agg(F.max_by(F.struct(*fields), order).alias("r")).select(id_col, "r.*")
 
 
+def latest(scores: DataFrame) -> DataFrame:
+    """id, score: the last score of each id, by seq or pos where there is such a column, else as the rows come. Rows without a score don't count."""
+    order = next((c for c in ("seq", "pos") if c in scores.columns), None)
+    rows = scores.where("score is not null").select("id", "score", (F.col(order) if order else F.monotonically_increasing_id()).alias("seq"))
+    return rows.groupBy("id").agg(F.max_by("score", "seq").alias("score"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """All registrations of a registry document (a list, or an object with the list under registrations)."""
     rows = spark.read.schema(schema.REGISTRY).option("multiLine", True).json(path)
@@ -77,7 +86,7 @@ class ScoreTable:
         self.spark, self.path = spark, path
 
     def read(self, model_hash: str) -> DataFrame:
-        """id, score, error of one scorer; one row per id, a score before an error."""
+        """id, score, error of one scorer; one row per id: the last score, else the last error."""
         try:
             rows = self.spark.read.schema(schema.SCORES).parquet(self.path)
         except Exception as e:
@@ -85,12 +94,17 @@ class ScoreTable:
                 raise
             rows = self.spark.createDataFrame([], schema.SCORES)
         mine = rows.where(F.col("model_hash") == model_hash)
-        return mine.groupBy("id").agg(F.max("score").alias("score"), F.max("error").alias("error")).withColumn("error", F.when(F.col("score").isNull(), F.col("error")))
+        order = F.struct(F.coalesce("batch", F.lit(0)).alias("batch"), F.coalesce("seq", F.lit(0)).alias("seq"))
+        last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("score", "error")}
+        return mine.groupBy("id").agg(*last.values()).withColumn("error", F.when(F.col("score").isNull(), F.col("error")))
 
     def missing(self, rows: DataFrame, model_hash: str) -> DataFrame:
         """Rows that the scorer hasn't seen."""
         return rows.join(self.read(model_hash).select("id"), "id", "left_anti")
 
     def append(self, scored: DataFrame, model_hash: str) -> None:
-        """Add id, score, error; adding rows that are there changes nothing that read() gives."""
-        scored.select(F.lit(model_hash).alias("model_hash"), "id", F.col("score").cast("double"), F.col("error").cast("string")).write.mode("append").partitionBy("model_hash").parquet(self.path)
+        """Add id, score, error; of an id that is there the new score counts. Of an id that repeats in scored, the last row by seq or pos, if it has one."""
+        order = next((c for c in ("seq", "pos") if c in scored.columns), None)
+        seq = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+        rows = scored.select(F.lit(model_hash).alias("model_hash"), "id", F.col("score").cast("double"), F.col("error").cast("string"), F.lit(time.time_ns()).alias("batch"), seq.alias("seq"))
+        rows.write.mode("append").partitionBy("model_hash").parquet(self.path)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from answergauge.operators import correct, gates, group, reports, stats
+from answergauge.functions import text
+from answergauge.operators import correct, gates, group, reports, score, stats
 from answergauge.plans import queries as plans
 from answergauge.sources import corpus
 
@@ -67,7 +68,7 @@ def test_gate3_statuses_and_order(spark):
     assert [(r.intent_id, r.epoch, r.status, r.why) for r in got] == [("B", -1, "FAIL", None), ("A", -1, "PASS", None), ("C", -1, "UNDEFINED", "constant reference"), ("D", -1, "UNDEFINED", "constant candidate")]
     one = gates.gate3(groups).first()
     assert (one.groups, one.defined, one.failing, one.undefined, one.constant_candidate, one.min_intent, one.status) == (4, 2, 1, 2, 1, "B@-1", "FAIL")
-    assert gates.gate3_reason(groups).first().reason == "B:-1.000000 A:1.000000"
+    assert gates.gate3_reason(groups).first().reason == "B:-1 A:1"
     assert [r.line.split()[0] for r in reports.gate_lines(groups).collect()] == ["B", "A", "C", "D"]
     only = gates.gate3(groups.where("status = 'UNDEFINED'")).first()
     assert only.status == "UNDEFINED" and only.min_rho is None and only.min_intent == ""
@@ -89,9 +90,74 @@ def test_verdict_names_the_first_gate_that_fails(spark):
     apart = rows.withColumn("ground_truth", F.concat("ground_truth", "intent_id"))
     assert tuple(gates.run_gates(apart, scores, reference, good).first()) == ("PASS", "PASS", "PASS", True, "")
     flat = gates.run_gates(apart, scores.withColumn("score", F.lit(0.5)), reference, good).first()
-    assert (flat.gate2, flat.gate3, flat.activates, flat.reason) == ("FAIL", "UNDEFINED", False, "gate 2: spread 0.0000")
-    none = gates.run_gates(apart.where("intent_id = 'A'"), scores, reference, good).first()
-    assert (none.gate1, none.activates, none.reason) == ("UNDEFINED", False, "")
+    assert (flat.gate2, flat.gate3, flat.activates, flat.reason) == ("FAIL", "UNDEFINED", False, "candidate scores collapsed: stdev=0.0000 <= threshold 0.0500")
+    with pytest.raises(ValueError):
+        gates.run_gates(apart.where("intent_id = 'A'"), scores, reference, good)
+    bad = gates.run_gates(apart, scores, reference, lambda q, t, a: F.when(t == a, 0.1).otherwise(0.25)).first()
+    assert bad.reason == "structural validation failed: self-match (0.1000) did not beat unrelated cross-match (0.2500)"
+    turned = gates.run_gates(apart, rows.select("id", (-F.col("candidate")).alias("score")), reference, good).first()
+    assert turned.reason == "rank agreement below threshold (0.60), got: map[A:-1 B:-1]"
+    one, two, groups = gates.measured(apart, scores, reference, good)
+    lines = [r.line for r in reports.first_gates_lines(one, two, gates.gate3(groups)).collect()]
+    assert lines[0] == "[1] structural self-match: PASS" and "margin +0.8000" in lines[1] and "2 of 2 pairs right (100%, 60% needed)" in lines[2]
+    assert lines[3] == "[2] score dispersion: PASS" and lines[5] == "    range 0.0000 to 0.4000 over 10 rows" and lines[6] == "[3] rank agreement: PASS"
+    assert reports.verdict_lines(gates.run_gates(apart, scores, reference, good)).first().line == "verdict: all three gates pass"
+
+
+def test_weak_structure_is_worded_as_such(spark):
+    one = gates.gate1(spark.createDataFrame([(0.9, 0.1)] + [(0.1, 0.2)] * 2, "self_score double, cross_score double"))
+    two = gates.gate2(spark.createDataFrame([(0.1,), (0.9,)], "score double"))
+    scored = rounds(spark, [(str(k), "A", 1, float(k), float(k)) for k in range(4)]).withColumn("reference", F.col("score"))
+    groups = gates.gate3_groups(scored, True)
+    assert gates.verdict(one, two, gates.gate3(groups), groups).first().reason == (
+        "structural validation weak: only 1 of 3 intent pairs ranked a matching answer above an unrelated one (33%, 60% required); means were self 0.3667 vs cross 0.1667"
+    )
+
+
+def test_of_repeated_ids_the_last_score_counts(spark):
+    """The last one is lower, so the largest is not what is taken, and rows don't multiply."""
+    rows = rounds(spark, [(str(k), "A", 1, 0.9, 0.0) for k in range(5)])
+    scores = spark.createDataFrame([("0", 0.9, 0), ("1", 0.9, 1), ("0", 0.3, 2), ("1", 0.1, 3), ("2", 0.5, 4), ("2", None, 5)], "id string, score double, seq int").coalesce(1)
+    want = {"0": 0.3, "1": 0.1, "2": 0.5}
+    assert {r.id: r.score for r in corpus.latest(scores).collect()} == want
+    assert {r.id: r.score for r in corpus.latest(scores.drop("seq")).collect()} == want
+    diff = reports.differences(scores, scores.select("id", "score"))
+    assert sorted((r.id, r.d) for r in diff.collect()) == [("0", 0), ("1", 0), ("2", 0)]
+    assert reports.verify_bits(scores, scores).count() == 0 and reports.verify_bounds(scores, scores).first().rows == 3
+    canonical = rows.select("id", F.lit(0.8).alias("score")).unionByName(rows.select("id", F.lit(0.9).alias("score")))
+    found = gates.eligible(rows, canonical.coalesce(1), scores)
+    assert found.count() == 5 and gates.catch_rate(found).first().catches == 3
+    joined = gates.join_scores(rows, scores, canonical.coalesce(1))
+    assert {r.id: (r.candidate, r.reference) for r in joined.collect()} == {k: (v, 0.9) for k, v in want.items()} and joined.count() == 3
+
+
+def test_a_scorer_that_raises_loses_its_row_alone(spark):
+    def odd(q, t, a):
+        if "x" in a:
+            raise ValueError("no x")
+        return float("nan") if "n" in a else 0.5
+
+    rows = spark.createDataFrame([("1", "q", "t", "a"), ("2", "q", "t", "x"), ("3", "q", "t", "n"), ("4", "q", None, " ")], "id string, question string, ground_truth string, miner_answer string")
+    got = {r.id: (r.score, r.error) for r in score.Scorer("odd", "odd-1", score.by_row(odd)).apply(rows).collect()}
+    assert got == {"1": (0.5, None), "2": (None, "ValueError: no x"), "3": (None, "the score isn't a number"), "4": (0.0, None)}
+
+
+def test_numbers_as_they_are_reported(spark):
+    values = [0.6065, -1.0, 1.0, 0.0, 0.123456789, 1 / 3, 0.00012345, 0.000012345, 12345678.9, 123456789.0, 100.0, -0.5]
+    got = [r.t for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(text.general(F.col("v")).alias("t")).collect()]
+    assert got == [f"{v:.8g}" for v in values]
+
+
+def test_the_two_corrections_agree(spark):
+    """By counts and expressions, and a row at a time."""
+    pieces = ["$5", "5 million", "1e3", "7%", "0xdeadbeef01", "CVE-2020-1234", "2020-01-02", "I cannot", "in 1999", "-3", "1,000", "x", "é" * 120, "i am sorry, i", " ", ""]
+    rng = np.random.default_rng(3)
+    rows = [(k, *(" ".join(rng.choice(pieces, rng.integers(0, 5))) for _ in range(2))) for k in range(400)] + [(900, None, "5"), (901, "5", None), (902, "\u00a0", "5")]
+    table = spark.createDataFrame(rows, "id long, ground_truth string, miner_answer string")
+    for cfg in (correct.DetectorConfig(), correct.DetectorConfig(max_correction=0.05, check_dates=True, max_truth_numbers=1, numeric_weight=0.03, markers=("sorry",), refusal_window=300)):
+        plain = table.select("id", correct.analyse_plain(F.col("ground_truth"), F.col("miner_answer"), cfg).alias("correction"))
+        assert reports.compare_corrections(reports.with_correction(table, cfg).select("id", "correction"), plain).count() == 0
+        assert reports.compare_corrections(table.select("id", correct.analyse(F.col("ground_truth"), F.col("miner_answer"), cfg).alias("correction")), plain).count() == 0
 
 
 def test_structural_pairs_turn_around(spark):
@@ -148,7 +214,7 @@ def test_last_of_repeated_ids(spark):
     assert {r.id: r.score for r in corpus.last_by_id(rows).collect()} == {"a": 0.2, "b": 0.3}
 
 
-@pytest.mark.parametrize("name", ["rank_agreement_pooled", "catch_rate", "bm25_score", "correction", "simulate_gates", "structural_gate", "gate3_summary", "refusal_flags"])
+@pytest.mark.parametrize("name", ["rank_agreement_pooled", "catch_rate", "bm25_score", "correction", "simulate_gates", "structural_gate", "gate3_summary", "refusal_flags", "gate_verdict", "rank_answers", "number_forms", "blank_forms", "refusal_forms", "joined_scores", "rejection_reason"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 

@@ -55,6 +55,31 @@ def test_paged_reader():
     assert asked == [("A", 0), ("A", 0), ("A", 500)]
 
 
+def test_an_error_keeps_the_pages_before_it(spark):
+    ids = [f"r{k}" for k in range(1700)]
+
+    def get(url, intent, offset, timeout):
+        if offset == get.broken:
+            raise OSError("gone")
+        return page(offset, ids[offset : offset + paged.PAGE], get.total)
+
+    get.total = len(ids)
+    names = [f.name for f in paged.PagedRounds({"keep": "true"}).schema()]
+    for broken, total, want in ((1000, 1700, (1000, "OSError: gone")), (-1, 1700, (1700, None)), (-1, 9000, (1700, None))):
+        get.broken, get.total = broken, total
+        reader = paged.PagedReader({"url": "http://x", "keep": "true"}, get)
+        rows = spark.createDataFrame([r for p in reader.partitions() for r in reader.read(p)], paged.PagedRounds({"keep": "true"}).schema())
+        kept, error = paged.up_to_the_end(rows)
+        assert (kept.count(), error) == want and kept.columns == names[:-1]
+    get.broken = 0
+    bad = paged.PagedReader({"url": "http://x"}, get)
+    with pytest.raises(OSError):
+        list(bad.read(paged._Page(0)))
+    bad.keep = True
+    with pytest.raises(OSError):
+        paged.up_to_the_end(spark.createDataFrame(list(bad.read(paged._Page(0))), paged.PagedRounds({"keep": "true"}).schema()))
+
+
 def test_paged_source_over_http(spark):
     import http.server
     import threading
@@ -104,6 +129,9 @@ def test_score_table(spark, tmp_path):
     assert sorted(map(tuple, table.read("h").collect())) == [("a", 0.5, None), ("b", None, "bad")]
     assert [r.id for r in table.missing(rows, "h").collect()] == ["c"]
     assert table.missing(rows, "other").count() == 3
+    lower = spark.createDataFrame([("a", 0.2, None), ("b", 0.1, None), ("a", None, "late")], "id string, score double, error string").coalesce(1)
+    table.append(lower, "h")  # the last score counts, not the largest; an error takes no score away
+    assert sorted(map(tuple, table.read("h").collect())) == [("a", 0.2, None), ("b", 0.1, None)]
 
 
 def test_stream(spark, tmp_path):
