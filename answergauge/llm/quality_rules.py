@@ -6,7 +6,9 @@ SMOOTH is added to both, so the ratio doesn't lean to either at any size. A docu
 the mean over its words and pairs of the log ratio of the two; it is kept if the score is at least THRESHOLD, a fixed
 number, so each document's verdict follows from the counts alone.
 
-Counts of all documents come to the driver as one row per bucket, 2**BITS at most.
+Counts of all documents come to the driver as one row per bucket, 2**BITS at most. Texts of trusted documents are found by
+a join on the id; before it, a bitmap of 2**MAP_BITS bits over hashes of the trusted ids (8 MB, whatever their number) leaves out
+most others without moving them. Beyond some 10**8 trusted ids the bitmap fills up, and all texts move once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from . import store
 from .text_block import TextBlock, blocks
 
-BITS, SMOOTH, THRESHOLD = 18, 1.0, -0.2
+BITS, SMOOTH, THRESHOLD, MAP_BITS = 18, 1.0, -0.2, 26
 #: Fixed values of the base rules: symbols, fewest words, most percent of words in repeated windows, their width.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED, WIDTH = "[#*$%&|<>]", 50, 50, 3
 
@@ -50,11 +52,21 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _maybe(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id's hash has its bit in the bitmap of the ids: all whose id is there, and some others."""
+    bit = lambda: F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+    maps = ids.groupBy(F.bitmap_bucket_number(bit()).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("bits"))
+    at = F.bitmap_bit_position(bit())
+    here = rows.withColumns({"part": F.bitmap_bucket_number(bit()), "at": at}).join(F.broadcast(maps), "part")
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return here.where(F.floor(byte / F.pow(F.lit(2), F.pmod("at", F.lit(8)))) % 2 == 1).select(*rows.columns)
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """For each bucket, log of its share in the trusted documents over its share in all. trusted: ids, a column."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.where("id is not null")
+    rows = docs.select(store.col(id_col).alias("id"), store.col(text_col).alias("text"))
+    ids = store.cut(trusted.select(store.col(trusted.columns[0]).cast(rows.schema["id"].dataType).alias("id")).where("id is not null").distinct())
+    named = _maybe(rows.where("id is not null"), ids)
     times = store.cut(named.groupBy("id").agg(F.count("*").alias("n")).join(ids.hint("merge"), "id"))
     raw, good = _counts(rows), _counts(store.lookup(named, times, "id", "n", rows.count()))
     if not good.sum():  # nothing is trusted: the two are one corpus
@@ -130,7 +142,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     result.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("doc_id"), store.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_scored(ratios), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

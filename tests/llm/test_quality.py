@@ -94,6 +94,17 @@ def test_all_trusted_documents_count(spark):
     assert np.allclose(sorted(found[found != 0]), want)
 
 
+@pytest.mark.parametrize("bits", [15, 17, 26])
+def test_the_bitmap_leaves_out_no_trusted_document(spark, bits, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MAP_BITS", bits)
+    rows = spark.range(40_000).selectExpr("id * 7 as id", "'t' as text")
+    ids = spark.range(3_000).selectExpr("id * 14 as id")
+    left = quality_rules._maybe(rows, ids)
+    assert left.columns == rows.columns and left.join(ids, "id", "left_semi").count() == 3_000
+    n = left.count()
+    assert n < 3_000 + 37_000 * (1.2 * 3_000 / (1 << bits) + 0.002)
+
+
 def test_without_trusted_documents_the_base_rules_decide(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(60))), "x"), (2, "a", "y")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long")
