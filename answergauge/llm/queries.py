@@ -21,7 +21,9 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, store.new_path(spark, "digests"))
-    return exact_dedup.label_duplicates(_table(spark, sf_dir, "documents"), index)
+    out = exact_dedup.label_duplicates(_table(spark, sf_dir, "documents"), index)
+    index.close()
+    return out
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

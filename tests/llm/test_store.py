@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from answergauge.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, queries, sharding, simhash, store
 
-CLASHING = "doc_id long, text string, size long, hash long, shard int, slot long, digest string, keep_id long, fp long, component_id long, source string, target double, n long, key string, u double, start long, id long, good boolean, u_ int"
+CLASHING = "doc_id long, text string, size long, hash long, shard int, slot long, digest string, keep_id long, fp long, component_id long, source string, target double, n long, key string, u double, start long, id long, good boolean, u_ int, `a.b` string"
 
 
 def test_lookup_finds_every_row(spark, monkeypatch):
@@ -29,8 +29,8 @@ def clashing(spark):
     rows = []
     for i in range(90):
         text = None if i == 7 else "" if i == 8 else "same text of many" if i % 3 == 0 else f"word{i} " * (i % 11 + 1)
-        rows.append((i if i != 20 else 19, text, 1, None, 3, None, "d", None, 5, None, None if i % 4 == 0 else f"s{i % 4}", 0.5, 9, None, 0.1, 3, 4, None, 1))
-    rows.append((None, "no id", *([None] * 17)))
+        rows.append((i if i != 20 else 19, text, 1, None, 3, None, "d", None, 5, None, None if i % 4 == 0 else f"s{i % 4}", 0.5, 9, None, 0.1, 3, 4, None, 1, "z"))
+    rows.append((None, "no id", *([None] * 18)))
     return spark.createDataFrame(rows, CLASHING).repartition(3)
 
 
