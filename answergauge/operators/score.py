@@ -99,14 +99,20 @@ LEXICAL_SCORER = Scorer("lexical", "lexical-1", lambda q, t, a: composite(bm25(q
 
 
 def with_embeddings(rows: DataFrame, columns: list[str], embed) -> DataFrame:
-    """rows with a vector for each text column (name_vec); each distinct text is embedded once."""
+    """rows with a vector for each text column (name_vec); each distinct text is embedded once.
+
+    Empty texts, which can be a large part of the answers, don't go through the join: their vector is one row.
+    """
     if not columns:
         return rows
     texts = None
     for c in columns:
         part = rows.select(F.coalesce(F.col(c), F.lit("")).alias("text"))
         texts = part if texts is None else texts.unionByName(part)
-    known = texts.distinct().withColumn("vec", embed("text"))
+    known = texts.where("text <> ''").distinct().withColumn("vec", embed("text"))
+    empty = rows.sparkSession.createDataFrame([("",)], "text string").withColumn("vec", embed("text"))
     for c in columns:
-        rows = rows.join(known.select(F.col("text").alias(f"{c}__"), F.col("vec").alias(f"{c}_vec")), F.coalesce(F.col(c), F.lit("")) == F.col(f"{c}__")).drop(f"{c}__")
+        is_empty = F.coalesce(F.col(c), F.lit("")) == ""
+        full = rows.where(~is_empty).join(known.select(F.col("text").alias(f"{c}__"), F.col("vec").alias(f"{c}_vec")), F.col(c) == F.col(f"{c}__")).drop(f"{c}__")
+        rows = full.unionByName(rows.where(is_empty).join(F.broadcast(empty.select(F.col("vec").alias(f"{c}_vec")))))  # one row
     return rows

@@ -20,7 +20,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
-    return exact_dedup.drop_duplicates(docs, exact_dedup.DigestIndex(spark, store.new_path(spark, "digests")))
+    index = exact_dedup.DigestIndex(spark, store.new_path(spark, "digests"))
+    out = exact_dedup.drop_duplicates(docs, index)
+    index.close()
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
