@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import tokens
+from . import store, tokens
 from .text_block import blocks
 
 CAPACITY, CHUNK, BLOCK, LEAST, PADDING = 2048, 2048, 512, 16, 0.01
@@ -104,9 +103,9 @@ def pack(sizes: list[int], capacity: int = CAPACITY, block: int = BLOCK) -> list
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packer(path: str, end_id: int, capacity: int, with_ids: bool):
+def _packer(path: str, end_id: int, capacity: int, with_ids: bool, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, plain).encode
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
@@ -164,15 +163,17 @@ def _packer(path: str, end_id: int, capacity: int, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, plain: bool = False
+) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
     A document is the ids of its text and end_id. start: its ids before the piece; offset: ids before it in its
     sequence, gapless. ids_crc32: of the ids as little-endian unsigned 32-bit integers. Null text counts as empty
     and leaves one id, end_id. Repeated rows are documents each; a null id stays null. An empty table gives an
-    empty result. Sequences are whole within a partition of docs, so the same partitions give the same sequences.
+    empty result. plain: strings of the tokenizer's own tokens in a text are ordinary text. Sequences are whole within a partition of docs, so the same partitions give the same sequences.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("doc_id"), store.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_packer(tokenizer_path, end_id, capacity, with_ids), f"doc_id {kind}, {PIECE}" + (", ids array<int>" if with_ids else ""))
+    out = rows.mapInArrow(_packer(tokenizer_path, end_id, capacity, with_ids, plain), f"doc_id {kind}, {PIECE}" + (", ids array<int>" if with_ids else ""))
     return out.withColumnRenamed("doc_id", id_col)

@@ -31,9 +31,9 @@ LAYOUT = {
 }
 
 
-def _encoder(path: str, end_id: int):
+def _encoder(path: str, end_id: int, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, plain).encode
         for batch in batches:
             for row, to, block in blocks(batch.column(1)):
                 flat, bounds = encode(block)
@@ -45,15 +45,16 @@ def _encoder(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> None:
     """Write doc_id, n_tokens and ids (those of the text, and end_id) of each row of docs, ascending by id.
 
-    Null text counts as empty: one id. Null ids come first. Repeated ids stand side by side.
+    Null text counts as empty: one id. Null ids come first. Repeated ids stand side by side. plain: strings of the
+    tokenizer's own tokens in a text are ordinary text.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(store.col(id_col).alias("doc_id"), store.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    coded = ordered.mapInArrow(_encoder(tokenizer_path, end_id), f"doc_id {kind}, n_tokens long, ids array<int>")
+    coded = ordered.mapInArrow(_encoder(tokenizer_path, end_id, plain), f"doc_id {kind}, n_tokens long, ids array<int>")
     coded.write.options(**LAYOUT).parquet(path)
 
 

@@ -276,9 +276,9 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The worker's encoder for a tokenizer file."""
     held = store.worker_cache("encoders")
-    if path not in held:
-        held[path] = PieceEncoder(path)
-    return held[path]
+    if (path, plain) not in held:
+        held[path, plain] = PieceEncoder(path, plain)
+    return held[path, plain]

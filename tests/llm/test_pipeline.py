@@ -1,10 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from answergauge.llm import mixing, quality_classifier, queries
+from tests.llm.test_simhash import brute_components, brute_fingerprint, near
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +71,64 @@ def test_each_stage(spark, folder):
     assert sum(r.length for r in by["packing"]) == total
 
 
+def test_every_row_is_accounted_for(spark, tmp_path):
+    """Null ids, repeated ids with other texts, repeated rows, and columns of any names, stage by stage against plain loops."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choices(words, k=rng.randint(40, 160)))
+        rows.append((i if i % 10 else None, text, f"s{i % 2}" if i % 9 else None, i, "n", i))
+        if i % 6 == 0:
+            rows.append((rows[-1][0], text.replace(" ", "\t", 2), *rows[-1][2:]))  # the same id, a copy
+        if i % 8 == 0:
+            rows.append((i - 1 if i else 0, " ".join(rng.choices(words, k=60)), *rows[-1][2:]))  # a used id, another text
+        if i % 7 == 0:
+            rows.append((rows[-1][0], rows[-1][1].upper(), *rows[-1][2:]))  # a near copy
+        if i % 11 == 0:
+            rows.append(rows[-1])
+    rows += [(500, None, "s1", 0, "n", 1), (501, "", None, 0, None, 1), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long, __n string, row long").repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(500, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    pair = lambda r: (r[0], r[1])
+    kept = quality_classifier.score_documents(docs, quality_classifier.train(docs, quality_classifier.grades_of_labels(spark.read.parquet(f"{tmp_path}/labels.parquet")), 3)).where("kept")
+    out = stages["quality classifier"](spark, docs, str(tmp_path))
+    assert out.schema == docs.schema and Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in kept.collect())
+    # exact dedup, of all rows
+    out = stages["exact dedup"](spark, docs, str(tmp_path))
+    least = {}
+    for r in rows:
+        key = re.sub("[ \t-\r]+", " ", r[1] or "")
+        ids = [x for x in (r[0], least.get(key)) if x is not None]
+        least[key] = min(ids, default=None)
+    got = out.collect()
+    assert out.schema == docs.schema and set(map(tuple, got)) <= set(rows)
+    assert sorted((re.sub("[ \t-\r]+", " ", r.text or ""), r.doc_id) for r in got) == sorted(least.items())
+    # near-dedup, of all rows: one of each component of fingerprints, by id, then fingerprint
+    out = stages["SimHash near-dedup"](spark, docs, str(tmp_path))
+    fps = {r[1]: brute_fingerprint(r[1]) for r in rows}
+    nodes = {f: f for f in fps.values()}
+    root = brute_components(nodes, near(nodes))
+    groups = {}
+    for r in rows:
+        signed = fps[r[1]] - (1 << 64) if fps[r[1]] >> 63 else fps[r[1]]
+        groups.setdefault(root[fps[r[1]]], []).append((r[0] is None, r[0] or 0, signed))
+    got = out.collect()
+    assert out.schema == docs.schema and set(map(tuple, got)) <= set(rows) and len(got) == len(groups)
+    assert sorted((r.doc_id is None, r.doc_id or 0, fps[r.text]) for r in got) == sorted((a, i, f % (1 << 64)) for a, i, f in map(min, groups.values()))
+    # the mix, and packing, of all rows
+    out = stages["mixing sources"](spark, docs, str(tmp_path))
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r["size"]] += r.copies
+    got = out.collect()
+    assert out.schema == docs.schema and set(map(tuple, got)) <= set(rows)
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in got) == +want
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r[0] for r in rows)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     again = corpus_pipeline.run(spark, folder)
