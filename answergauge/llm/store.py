@@ -66,8 +66,8 @@ def marked(docs: DataFrame, key: Column, **others: Column) -> DataFrame:
 
 
 def name_of(*values: Column) -> Column:
-    """One string for some values, nulls apart from others; values but the last have no colon."""
-    return F.concat_ws(":", *[F.coalesce(F.concat(F.lit("="), v.cast("string")), F.lit("")) for v in values])
+    """One string for some values, other for other values, nulls apart: each begins with "=", and has its colons twice."""
+    return F.concat_ws(":", *[F.coalesce(F.concat(F.lit("="), F.replace(v.cast("string"), F.lit(":"), F.lit("::"))), F.lit("")) for v in values])
 
 
 def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
