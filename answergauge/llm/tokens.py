@@ -20,7 +20,7 @@ from . import store
 from .text_block import ODD, TextBlock, mixed
 
 #: Pieces, and ids of pieces, that a worker keeps; beyond, it forgets those that it has seen least.
-KEPT, KEPT_IDS = 1_000_000, 8_000_000
+KEPT, KEPT_IDS = 1_000_000, 6_000_000
 #: Pieces of up to PAIR bytes are kept in a table of numbers, the others in a dict; words that the library gets in one string.
 PAIR, JOINED = 15, 4096
 #: Bytes of text in a block: more of them have fewer distinct pieces for their size.
@@ -115,7 +115,7 @@ class PairTable:
         """Keep the places of keys, which are distinct and new."""
         if 2 * (self.used + len(low)) > len(self.rows):
             old = self.rows[self.rows[:, 1] != 0]
-            self.__init__(max(12, (4 * (self.used + len(low))).bit_length()))
+            self.__init__(max(12, (2 * (self.used + len(low))).bit_length()))
             self.put(old[:, 0], old[:, 1], old[:, 2])
         slot, open_ = self._slots(low, high), np.arange(len(low))
         while len(open_):
