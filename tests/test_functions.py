@@ -194,3 +194,11 @@ def test_transformer_reads_its_weights():
     assert v.shape == (width,) and np.linalg.norm(v) == pytest.approx(1, abs=1e-5) and (model.embed("a b a") == v).all()
     with pytest.raises(ValueError):
         embed.read_weights(b"MLM1" + blob[4:])
+
+
+def test_words_of_embeddings_are_those_of_texts(spark):
+    """Vowel signs are part of their word, in both forms."""
+    texts = ["हिन्दी x_y", "ไทย ที่", "Ⅷ ½ a²", "don't É-b", "  ", "ͅa"]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    got = [r.w for r in table.select(F.transform(text.split_words(F.col("t")), text.lower_ascii).alias("w")).collect()]
+    assert got == [embed.words(t) for t in texts] and got[0] == ["हिन", "दी", "x", "y"]  # the sign that joins consonants is no letter
