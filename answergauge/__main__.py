@@ -77,7 +77,7 @@ def subset(spark, a) -> int:
 def gate(spark, a) -> int:
     rows = load(spark, a.corpus)
     candidate, reference = scored(rows, a.scorer), scored(rows, a.reference)
-    one, two, groups = gates.measured(rows, candidate, reference, score.LEXICAL_SCORER.score, a.pool, a.min_group)
+    one, two, groups = (t.persist() for t in gates.measured(rows, candidate, reference, score.LEXICAL_SCORER.score, a.pool, a.min_group))  # small, and shown more than once
     three = gates.gate3(groups)
     show(reports.first_gates_lines(one, two, three))
     show(reports.gate_lines(groups))
@@ -106,11 +106,11 @@ def compare(spark, a) -> int:
 
 def simulate(spark, a) -> int:
     rows = load(spark, a.corpus)
-    base = rows.join(scored(rows, a.scorer).select("id", F.col("score").alias("baseline")), "id").withColumn("reference", F.col("score"))
+    base = rows.join(scored(rows, a.scorer).select("id", F.col("score").alias("baseline")), "id").withColumn("reference", F.col("score")).persist()
     cfg = config(a)
     show(reports.simulate_lines(reports.sweep(base, {"this": cfg} | ({} if a.brief else {"shipped": DEFAULT}))))
     if not a.brief:
-        done = reports.with_correction(base, cfg)
+        done = reports.with_correction(base, cfg).persist()
         say(reports.firing_rates(done))
         reports.silence_profile(done).orderBy("rate", "intent_id").show(100, False)
         keep = lambda c: gates.gate3_groups(done.withColumn("candidate", F.col(c)), True)

@@ -55,9 +55,12 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     All is done on the counts of pairs of values, so rows that tie in both (a score of 0, say) are one row from the start.
     """
     pairs = rows.groupBy(*keys, x, y).agg(F.count("*").alias("n__"))
-    ranked = pairs
-    for v in (x, y):
-        ranked = _with_ranks(ranked, pairs.groupBy(*keys, v).agg(F.sum("n__").alias("n__")), keys, v)
+    # Both values go through the ranks together, a row each.
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side__"), F.col(v).cast("double").alias("value__")) for k, v in enumerate((x, y))])).alias("s__")
+    both = pairs.select(*keys, x, y, "n__", sides).select(*keys, x, y, "n__", "s__.*")
+    counts = both.groupBy(*keys, "side__", "value__").agg(F.sum("n__").alias("n__"))
+    long = _with_ranks(both, counts, [*keys, "side__"], "value__")
+    ranked = long.groupBy(*keys, x, y, "n__").agg(*[F.max(F.when(F.col("side__") == k, F.col("value___rank"))).alias(f"{v}_rank") for k, v in enumerate((x, y))])
     # Ranks of a group have the mean (n + 1) / 2, ties or not.
     n, a, b = F.col("n__"), F.col(f"{x}_rank"), F.col(f"{y}_rank")
     sums = ranked.groupBy(*keys).agg(
