@@ -91,9 +91,16 @@ class DigestIndex:
         finally:
             self.spark.conf.set(conf, before)
 
+    def _seat(self) -> Column:
+        """A string for each bucket of a digest, other ones for other buckets, that deals it to the task of its number where tasks are as many as buckets."""
+        draws = self.spark.range(32 * self.buckets).select(F.pmod(F.hash(F.col("id").cast("string")), F.lit(self.buckets)).alias("bucket"), "id")
+        seats = {r.bucket: str(r.id) for r in draws.groupBy("bucket").agg(F.min("id").alias("id")).collect()}
+        every = ",".join(seats.get(b, f"b{b}") for b in range(self.buckets))  # one that no draw hits goes to any task
+        return F.element_at(F.split(F.lit(every), ","), F.pmod(F.hash("digest"), F.lit(self.buckets)) + 1)
+
     def _write(self, rows: DataFrame) -> None:
-        # By an expression equal to the digest: by the column itself, rows read from as many buckets would not be dealt out again.
-        dealt = rows.select("digest", F.col("keep_id").cast(self.kind).alias("keep_id")).repartition(self.buckets, F.concat("digest", F.lit("")))
+        # By the bucket, not the digest: a bucket is whole in one task, and so one file, whatever number of tasks it is dealt to.
+        dealt = rows.select("digest", F.col("keep_id").cast(self.kind).alias("keep_id")).repartition(self.buckets, self._seat())
         dealt.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
 

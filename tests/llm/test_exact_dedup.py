@@ -84,6 +84,25 @@ def test_three_appends_and_a_rewrite(spark, monkeypatch):
     again.close()
 
 
+def test_a_bucket_is_one_file_however_many_tasks_write(spark, monkeypatch):
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    rows = [(i, f"text {i % 150}") for i in range(200)]
+    for tasks in (11, 4):
+        with monkeypatch.context() as m:
+            m.setattr(frame, "repartition", lambda self, n, *cols, tasks=tasks: dealt(self, max(tasks, n), *cols))
+            index = index_of(spark)
+            kept = exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), index)
+            assert sorted(r.doc_id for r in kept.collect()) == list(range(150))
+            assert index.number == 1 and len(index.table().inputFiles()) == 4 and index._appends() == 1
+            index.compact()
+            assert len(index.table().inputFiles()) == 4 and index.table().count() == 150
+            if tasks == 4:  # each task has one bucket, its own
+                seats = index.table().repartition(4, index._seat()).select(F.spark_partition_id().alias("task"), F.pmod(F.hash("digest"), F.lit(4)).alias("bucket"))
+                assert {(r.task, r.bucket) for r in seats.distinct().collect()} == {(k, k) for k in range(4)}
+            index.close()
+
+
 def test_buckets_grow_with_the_rows():
     assert exact_dedup.buckets_for(0) == exact_dedup.buckets_for(10**6) == 64
     for rows in (10**9, 10**11):
