@@ -66,7 +66,8 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     sums = ranked.groupBy(*keys).agg(
         F.sum(n).alias("n"), F.sum(n * a * b).alias("ab__"), F.sum(n * a * a).alias("aa__"), F.sum(n * b * b).alias("bb__"), (F.min(x) == F.max(x)).alias(f"{x}_constant"), (F.min(y) == F.max(y)).alias(f"{y}_constant")
     )
-    off = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4
+    m = F.col("n").cast("double")  # as longs this product overflows from 2,097,152 rows of a group on
+    off = m * (m + 1) * (m + 1) / 4
     rho = F.try_divide(F.col("ab__") - off, F.sqrt((F.col("aa__") - off) * (F.col("bb__") - off)))
     defined = (F.col("n") >= 2) & ~F.col(f"{x}_constant") & ~F.col(f"{y}_constant")
     return sums.withColumn("rho", F.when(defined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))).select(*keys, "n", "rho", f"{x}_constant", f"{y}_constant")

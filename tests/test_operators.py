@@ -39,6 +39,19 @@ def test_spearman_equals_brute_force_with_ties(spark):
     assert rho(spark, x, y).rho == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
 
 
+def test_spearman_of_millions_of_rows_in_a_group(spark):
+    n = 3_000_000  # n cubed is beyond a long
+    k = F.col("id") % 4
+    swapped = F.when(k == 1, 2).when(k == 2, 1).otherwise(k)
+    pairs = {"same": (k, k), "turned": (k, -k), "swapped": (k, swapped), "one": (F.col("id") == 0, F.col("id") == 0), "two": (F.col("id") == 0, F.col("id") == 1), "constant": (k, F.lit(0))}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("k"), x.cast("double").alias("x"), y.cast("double").alias("y")) for name, (x, y) in pairs.items()]))
+    found = {r.k: r for r in stats.spearman(spark.range(n).select(each.alias("r")).select("r.*"), ["k"], "x", "y").collect()}
+    assert {r.n for r in found.values()} == {n} and found["constant"].rho is None
+    # Ties of equal size leave the rho of four rows; a row apart from all others has the correlation of its values.
+    wanted = {"same": 1, "turned": -1, "swapped": 0.8, "one": 1, "two": -1 / (n - 1)}
+    assert all(found[name].rho == pytest.approx(v, abs=1e-8) for name, v in wanted.items())
+
+
 def test_ranks_of_ties(spark):
     rows = spark.createDataFrame([("g", v, k) for k, v in enumerate([5.0, 1.0, 1.0, 1.0, 9.0])], "k string, v double, n int")
     assert [r.v_rank for r in stats.fractional_ranks(rows, ["k"], ["v"]).orderBy("n").collect()] == [4, 2, 2, 2, 5]
